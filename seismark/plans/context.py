@@ -101,7 +101,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(3e-10), 6) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
             c = c.cast("long")
         out.append(c.alias(f.name))

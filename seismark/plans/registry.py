@@ -13,7 +13,8 @@ from seismark.operators import alignment, backtest, cleaning, drawdown, features
 from seismark.plans.context import CAPITAL, CLEANING, TRAIN_END, Context, tidy
 from seismark.plans.oracle import with_ctes
 
-R = "round({}, 6) + 0e0 AS {}"
+#: The small shift keeps halves from rounding one way here and the other there.
+R = "round({} + 3e-10, 6) + 0e0 AS {}"
 _Q: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {}
 
 
