@@ -140,7 +140,8 @@ def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents, each without the text from the first to the last word of every hit span."""
-    found = scan(docs, benchmark, docs.columns)
+    names = docs.columns
+    found = scan(docs, benchmark, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +152,8 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for s in reversed(spans):
                         text = text[: places[s["start"]][0]] + text[places[s["stop"] - 1][1] :]
                 texts.append(None if text is None else text.decode())
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return found.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
 

@@ -53,6 +53,8 @@ BLOCKED = tuple(
 )
 
 BITS_PER_KEY, PROBES = 10, 7
+#: Positions are taken modulo this prime first, so that keys which meet in one small bitmap part in the next.
+PRIME = 2147483647
 #: Bytes of bitmap in one broadcast; larger cascades are cut into hash blocks.
 BLOCK_BYTES = 16 << 20
 MAX_LEVELS = 28
@@ -84,7 +86,7 @@ class Cascade:
         for i, bits in enumerate(self.levels):
             into = np.ones(len(a), bool)
             for j in range(PROBES):
-                p = (a + (i * PROBES + j) * b) % (len(bits) * 64)
+                p = (a + (i * PROBES + j) * b) % PRIME % (len(bits) * 64)
                 into &= (bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) > 0
             listed[open_ & ~into] = i % 2 == 1
             open_ &= into
@@ -94,7 +96,7 @@ class Cascade:
 def _bitmap(keys: DataFrame, level: int, n: int) -> np.ndarray:
     """The Bloom filter of ``keys`` (a, b): its words are made on executors."""
     words = max(1, math.ceil(n * BITS_PER_KEY / 64))
-    spots = F.explode(F.array(*[(F.col("a") + F.col("b") * (level * PROBES + j)) % (words * 64) for j in range(PROBES)]))
+    spots = F.explode(F.array(*[(F.col("a") + F.col("b") * (level * PROBES + j)) % PRIME % (words * 64) for j in range(PROBES)]))
     bit = F.expr("shiftleft(1L, cast(_p % 64 as int))")
     found = keys.select(spots.alias("_p")).groupBy(F.floor(F.col("_p") / 64).cast("long").alias("w")).agg(F.bit_or(bit).alias("x"))
     out = np.zeros(words, np.int64)
@@ -111,7 +113,7 @@ def _taken(keys: DataFrame, bits: np.ndarray, level: int) -> DataFrame:
         x, y, word = a.to_numpy(), b.to_numpy(), sent.value
         ok = np.ones(len(x), bool)
         for j in range(PROBES):
-            p = (x + (level * PROBES + j) * y) % (len(word) * 64)
+            p = (x + (level * PROBES + j) * y) % PRIME % (len(word) * 64)
             ok &= (word[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) > 0
         return pd.Series(ok)
 
