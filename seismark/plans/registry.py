@@ -199,8 +199,8 @@ _add("backtest_equity", _equity, f"SELECT dt, {_r('equity')} FROM beq")
 _add("realised_gains", lambda c: backtest.realised(_fold(c)[0]), f"SELECT symbol, sold_on, {_b('qty', 'holding_days')}, {_r('gain')} FROM real")
 _add("terminal_liquidation", lambda c: backtest.open_lots(_fold(c)[0], c.bars), f"SELECT symbol, sold_on, {_b('qty', 'holding_days')}, {_r('gain')} FROM lots")
 _add("capital_gains", lambda c: backtest.capital_gains(backtest.realised(_fold(c)[0])), f"SELECT {_b('fy')}, {_r('stcg_gain', 'ltcg_gain', 'tax')} FROM tax")
-_add("equity_after_tax", lambda c: backtest.after_tax(_equity(c), backtest.capital_gains(backtest.realised(_fold(c)[0]))),
-     f"SELECT dt, {_r(equity='equity - coalesce((SELECT sum(tax) FROM tax WHERE least(make_date(fy + 1, 3, 31), (SELECT max(dt) FROM beq)) <= e.dt), 0)')} FROM beq e")
+_add("equity_after_tax", lambda c: backtest.after_tax(_equity(c), backtest.capital_gains(backtest.realised(_fold(c)[0]))).select("dt", F.round("equity", 3).alias("equity")),
+     f"SELECT dt, {_r(equity='round(equity - coalesce((SELECT sum(tax) FROM tax WHERE least(make_date(fy + 1, 3, 31), (SELECT max(dt) FROM beq)) <= e.dt), 0), 3)')} FROM beq e")
 
 
 def _backtest_summary(c: Context) -> DataFrame:
