@@ -34,6 +34,7 @@ SEED, SHINGLE, BITS = 42, 3, 2
 #: Fingerprints under one key from which variants are cheaper than pairs.
 DENSE = 48
 CHUNK = 1 << 15
+CELLS = 64
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -119,14 +120,17 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable)."""
-    prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    prints = cut(fingerprints(docs).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int")))
+    # rows meet their component by cell, so a fingerprint of any number of rows is spread over CELLS keys
+    cells = prints.groupBy("fp", "cell").agg(F.min("doc_id").alias("first_doc"))
+    distinct = cut(cells.groupBy("fp").agg(F.min("first_doc").alias("first_doc")))
     roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp").select("fp", "root", "first_doc")
     heads = rooted.groupBy("root").agg(F.min("first_doc").alias("head"))
     linked = rooted.join(heads, "root").select("fp", "head")
     named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("head", "first_doc").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    spread = cells.select("fp", "cell").join(named, "fp")
+    return prints.join(spread, ["fp", "cell"]).select("doc_id", "fp", "component_id")
 
 
 def keep(docs: DataFrame) -> DataFrame:
