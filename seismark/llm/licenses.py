@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seismark.llm.common import let
 from seismark.llm.license_texts import LIBRARY, SPELLINGS
 
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|©|\(c\))[^\n]*"
@@ -42,24 +43,28 @@ def library(spark: SparkSession, known=LIBRARY) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, text_sha256, license_id of the whole text, notices (ids of lines), policy (the strictest found).
 
-    ``known``: digest, license_id, policy. Only digests are shuffled, never texts.
+    ``known``: digest, license_id, policy. Each text is normalised once; one row
+    of digests for each text, and one for each notice found, is shuffled.
     """
-    lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("_lines"))
-    units = lines.select("doc_id", F.sha2(F.array_join("_lines", " "), 256).alias("text_sha256"), "_lines")
-    digests = F.array_distinct(F.transform("_lines", lambda x: F.sha2(x, 256)))
-    parts = units.select("doc_id", "text_sha256", F.explode(digests).alias("digest")).join(known, "digest")
-    notices = parts.groupBy("doc_id", "text_sha256").agg(
-        F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"), F.max(_rank(F.col("policy"))).alias("_line_rank")
+    sha = lambda x: F.sha2(x, 256)
+    digests = let(
+        canonical_lines(F.col("text")),
+        lambda ls: F.concat(
+            F.array(F.struct(F.lit(True).alias("whole"), sha(F.array_join(ls, " ")).alias("digest"))),
+            F.transform(F.array_distinct(F.transform(ls, sha)), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("digest"))),
+        ),
     )
-    whole = units.drop("_lines").join(known.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
-    both = whole.alias("w").join(
-        notices.alias("n"), F.col("w.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("w.text_sha256") == F.col("n.text_sha256")), "left"
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), digests.alias("_digests"))
+    units = rows.select("doc_id", "_row", F.explode("_digests").alias("u"))
+    hits = units.select("doc_id", "_row", "u.whole", "u.digest").join(known, "digest", "left").filter("whole OR license_id IS NOT NULL")
+    found = hits.groupBy("_row", "doc_id").agg(
+        F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_sha256"),
+        F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
+        F.array_join(F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",").alias("notices"),
+        F.coalesce(F.max(_rank(F.col("policy"))), F.lit(0)).alias("_rank"),
     )
-    rank = F.greatest(F.coalesce(_rank(F.col("w.policy")), F.lit(0)), F.coalesce("n._line_rank", F.lit(0)))
-    return both.select(
-        "w.doc_id", "w.text_sha256", "w.license_id", F.coalesce("n.notices", F.lit("")).alias("notices"),
-        F.element_at(F.array(*map(F.lit, ("none", "permissive", "copyleft", "restricted"))), rank + 1).alias("policy"),
-    )
+    policy = F.element_at(F.array(*map(F.lit, ("none", "permissive", "copyleft", "restricted"))), F.col("_rank") + 1)
+    return found.select("doc_id", "text_sha256", "license_id", "notices", policy.alias("policy"))
 
 
 def _rank(policy: Column) -> Column:
