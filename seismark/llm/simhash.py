@@ -134,7 +134,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One row of each component: its least doc_id, and of repeated rows one; rows with a null doc_id stay."""
+    """The rows of each component's least doc_id, all of them if that doc_id is repeated; rows with a null doc_id stay."""
     gone = groups(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept
