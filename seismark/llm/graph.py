@@ -7,14 +7,26 @@ from pyspark.sql import functions as F
 
 from seismark.llm.common import cut
 
+CELLS = 64  # keys a hub's neighbours are spread over
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """u, v, m of ``links`` (u, v): m is the least v of the u.
+
+    Links meet their minimum by node and cell of the neighbour, so a hub's
+    links are spread over CELLS keys.
+    """
+    spread = links.withColumn("cell", F.pmod(F.xxhash64("v"), F.lit(CELLS)).cast("int"))
+    cells = spread.groupBy("u", "cell").agg(F.min("v").alias("m"))
+    least = cells.groupBy("u").agg(F.min("m").alias("m"))
+    return spread.join(cells.select("u", "cell").join(least, "u"), ["u", "cell"]).select("u", "v", "m")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b): root is the least node reachable.
 
     Alternates large-star and small-star steps until the links are stars.
-    Minima are aggregated before they meet the links again, so a hub's
-    neighbours are never gathered in one task.
-    Each round is checkpointed, so a lost executor costs one round at most.
+    Each step is checkpointed, so a lost executor costs one step at most.
     """
     links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -24,11 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(large, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").filter("v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        links = cut(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = _least(cut(large)).select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("a"), F.col("m").alias("b"))
+        links = cut(small.distinct())
     roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
