@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from seismark.llm.common import cut
 
-CELLS = 64  # keys a hub's neighbours are spread over
+CELLS = 64  # keys a group's rows are spread over
 
 
-def _least(links: DataFrame) -> DataFrame:
-    """u, v, m of ``links`` (u, v): m is the least v of the u.
+def with_least(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """Add ``name``: the least ``value`` of the row's ``group``.
 
-    Links meet their minimum by node and cell of the neighbour, so a hub's
-    links are spread over CELLS keys.
+    Rows meet their group's minimum by group and cell of the value, so a
+    group of any share of the rows is spread over CELLS keys.
     """
-    spread = links.withColumn("cell", F.pmod(F.xxhash64("v"), F.lit(CELLS)).cast("int"))
-    cells = spread.groupBy("u", "cell").agg(F.min("v").alias("m"))
-    least = cells.groupBy("u").agg(F.min("m").alias("m"))
-    return spread.join(cells.select("u", "cell").join(least, "u"), ["u", "cell"]).select("u", "v", "m")
+    spread = df.withColumn("_cell", F.pmod(F.xxhash64(value), F.lit(CELLS)).cast("int"))
+    cells = spread.groupBy(group, "_cell").agg(F.min(value).alias(name))
+    least = cells.groupBy(group).agg(F.min(name).alias(name))
+    return spread.join(cells.select(group, "_cell").join(least, group), [group, "_cell"]).drop("_cell")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,8 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        small = _least(cut(large)).select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("a"), F.col("m").alias("b"))
+        large = with_least(both, "u", "v", "m").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = with_least(cut(large), "u", "v", "m")
+        small = small.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("a"), F.col("m").alias("b"))
         links = cut(small.distinct())
     roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

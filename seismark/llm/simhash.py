@@ -13,7 +13,7 @@ two bits, and they are tied to the least of them. No link is lost.
 
 Defined results: texts without words (null, empty, blank) have fingerprint
 zero and link like others; repeated rows each get their row; a component whose
-doc_ids are all null has a null id.
+doc_ids are all null has a null id. ``keep`` leaves one row of each component.
 """
 
 from __future__ import annotations
@@ -23,18 +23,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from seismark.llm.common import cut
-from seismark.llm.graph import components
+from seismark.llm.graph import CELLS, components, with_least
 
 SEED, SHINGLE, BITS = 42, 3, 2
 #: Fingerprints under one key from which variants are cheaper than pairs.
 DENSE = 48
 CHUNK = 1 << 15
-CELLS = 64
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -53,17 +52,19 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long) of every whole text."""
+def fingerprints(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """doc_id, fp (long) of every whole text, and its ``digest`` if one is given."""
     kind = dict(docs.dtypes)["doc_id"]
+    more = [] if digest is None else ["digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             fps = pa.array((fingerprint(t.as_py()) for t in texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, *map(batch.column, more)], ["doc_id", "fp", *more])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[digest.alias(name) for name in more])
+    return texts.mapInArrow(run, f"doc_id {kind}, fp long" + "".join(f", {name} binary" for name in more))
 
 
 def _signed(x: int) -> int:
@@ -118,26 +119,43 @@ def links(distinct: DataFrame) -> DataFrame:
     return twos.unionByName(pairs).unionByName(stars).distinct()
 
 
+def _linked(prints: DataFrame, first: Column) -> DataFrame:
+    """``prints`` (fp and any columns) with head: the least ``first`` in the component of each row's fp.
+
+    Rows meet their component by cell, and components meet their head by
+    cell, so a fingerprint or component of any size is spread over CELLS keys.
+    """
+    cell = F.pmod(F.xxhash64(first, F.monotonically_increasing_id()), F.lit(CELLS)).cast("int")
+    prints = cut(prints.select("*", first.alias("first"), cell.alias("cell")))
+    cells = prints.groupBy("fp", "cell").agg(F.min("first").alias("first"))
+    distinct = cut(cells.groupBy("fp").agg(F.min("first").alias("first")))
+    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    heads = with_least(distinct.join(roots, "fp"), "root", "first", "head").select("fp", "head")
+    named = distinct.join(heads, "fp", "left").select("fp", F.coalesce("head", "first").alias("head"))
+    return prints.join(cells.select("fp", "cell").join(named, "fp"), ["fp", "cell"]).drop("cell")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable)."""
-    prints = cut(fingerprints(docs).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int")))
-    # rows meet their component by cell, so a fingerprint of any number of rows is spread over CELLS keys
-    cells = prints.groupBy("fp", "cell").agg(F.min("doc_id").alias("first_doc"))
-    distinct = cut(cells.groupBy("fp").agg(F.min("first_doc").alias("first_doc")))
-    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp").select("fp", "root", "first_doc")
-    heads = rooted.groupBy("root").agg(F.min("first_doc").alias("head"))
-    linked = rooted.join(heads, "root").select("fp", "head")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("head", "first_doc").alias("component_id"))
-    spread = cells.select("fp", "cell").join(named, "fp")
-    return prints.join(spread, ["fp", "cell"]).select("doc_id", "fp", "component_id")
+    return _linked(fingerprints(docs), F.col("doc_id")).select("doc_id", "fp", F.col("head").alias("component_id"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of each component's least doc_id, all of them if that doc_id is repeated; rows with a null doc_id stay."""
-    gone = groups(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept
+    """One row of each component: the least doc_id; of rows that repeat it, the least digest of the text.
+
+    A null doc_id comes after all others. Rows equal in doc_id and text become one of them.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    rows = fingerprints(docs, digest).groupBy("doc_id", "digest", "fp").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(_linked(rows, F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "digest")).select("first", "head", "n"))
+    pick = lambda d: d.select(F.col("first.doc_id").alias("_near_id"), F.col("first.digest").alias("_near_digest"))
+    gone, repeated = pick(rows.filter("first <> head")), pick(rows.filter("first = head AND n > 1"))
+    same = F.col("doc_id").eqNullSafe(F.col("_near_id")) & (digest == F.col("_near_digest"))
+    kept = docs.join(gone, same, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, same, "left_semi").withColumn("_near_digest", digest).dropDuplicates(["doc_id", "_near_digest"])
+    return kept.join(repeated, same, "left_anti").unionByName(once.drop("_near_digest"))
 
 
 def op4_query(docs: DataFrame) -> DataFrame:

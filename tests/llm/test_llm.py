@@ -131,6 +131,15 @@ def test_simhash_links_lose_none(spark, monkeypatch, dense):
     assert {f: got.get(f, f) for f in fps} == brute_components(fps)
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    x, y = "one two three four five six", "seven eight nine ten eleven twelve"
+    ids = [(1, x), (1, x), (2, x), (3, y), (3, y), (1, y), (None, x), (None, "alone here"), (None, "alone here"), (4, None), (5, ""), (6, x), (6, "of its own")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in ids], DOC)
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep(d).collect()), key=str)
+    assert got == sorted([(1, x), (1, y), (None, "alone here"), (4, None), (6, "of its own")], key=str)
+    assert simhash.keep(d).columns == d.columns
+
+
 def test_fingerprint_by_definition():
     import xxhash
 
