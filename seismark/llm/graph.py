@@ -19,7 +19,8 @@ def with_least(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     spread = df.withColumn("_cell", F.pmod(F.xxhash64(value), F.lit(CELLS)).cast("int"))
     cells = spread.groupBy(group, "_cell").agg(F.min(value).alias(name))
     least = cells.groupBy(group).agg(F.min(name).alias(name))
-    return spread.join(cells.select(group, "_cell").join(least, group), [group, "_cell"]).drop("_cell")
+    # merged, as a broadcast of the rows would let the one task that holds a group's cells put out all its rows
+    return spread.join(cells.select(group, "_cell").join(least, group).hint("merge"), [group, "_cell"]).drop("_cell")
 
 
 def components(edges: DataFrame) -> DataFrame:
