@@ -13,12 +13,15 @@ two bits, and they are tied to the least of them. No link is lost.
 
 Defined results: texts without words (null, empty, blank) have fingerprint
 zero and link like others; repeated rows each get their row; a component whose
-doc_ids are all null has a null id. ``keep`` leaves one row of each component.
+doc_ids are all null has a null id.
+
+``keep`` leaves one row of each group of near copies. Two bits find few of
+them, so it links by the shingle similarity of ``similar`` instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from seismark.llm import similar
 from seismark.llm.common import cut
 from seismark.llm.graph import CELLS, components, with_least
 
@@ -52,19 +56,18 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, digest: Column | None = None) -> DataFrame:
-    """doc_id, fp (long) of every whole text, and its ``digest`` if one is given."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (long) of every whole text."""
     kind = dict(docs.dtypes)["doc_id"]
-    more = [] if digest is None else ["digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             fps = pa.array((fingerprint(t.as_py()) for t in texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, *map(batch.column, more)], ["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[digest.alias(name) for name in more])
-    return texts.mapInArrow(run, f"doc_id {kind}, fp long" + "".join(f", {name} binary" for name in more))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -119,9 +122,11 @@ def links(distinct: DataFrame) -> DataFrame:
     return twos.unionByName(pairs).unionByName(stars).distinct()
 
 
-def _linked(prints: DataFrame, first: Column) -> DataFrame:
+def _linked(prints: DataFrame, first: Column, edges: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """``prints`` (fp and any columns) with head: the least ``first`` in the component of each row's fp.
 
+    ``edges`` makes links a, b of the prints and their distinct fp.
+
     Rows meet their component by cell, and components meet their head by
     cell, so a fingerprint or component of any size is spread over CELLS keys.
     """
@@ -129,7 +134,7 @@ def _linked(prints: DataFrame, first: Column) -> DataFrame:
     prints = cut(prints.select("*", first.alias("first"), cell.alias("cell")))
     cells = prints.groupBy("fp", "cell").agg(F.min("first").alias("first"))
     distinct = cut(cells.groupBy("fp").agg(F.min("first").alias("first")))
-    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    roots = components(edges(prints, distinct.select("fp"))).withColumnRenamed("node", "fp")
     heads = with_least(distinct.join(roots, "fp"), "root", "first", "head").select("fp", "head")
     named = distinct.join(heads, "fp", "left").select("fp", F.coalesce("head", "first").alias("head"))
     return prints.join(cells.select("fp", "cell").join(named, "fp"), ["fp", "cell"]).drop("cell")
@@ -137,17 +142,30 @@ def _linked(prints: DataFrame, first: Column) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable)."""
-    return _linked(fingerprints(docs), F.col("doc_id")).select("doc_id", "fp", F.col("head").alias("component_id"))
+    return _linked(fingerprints(docs), F.col("doc_id"), lambda _, distinct: links(distinct)).select("doc_id", "fp", F.col("head").alias("component_id"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One row of each component: the least doc_id; of rows that repeat it, the least digest of the text.
+    """One row of each group linked by similar texts: the least doc_id; of rows that repeat it, the least digest of the text.
 
     A null doc_id comes after all others. Rows equal in doc_id and text become one of them.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    rows = fingerprints(docs, digest).groupBy("doc_id", "digest", "fp").agg(F.count(F.lit(1)).alias("n"))
-    rows = cut(_linked(rows, F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "digest")).select("first", "head", "n"))
+    parts = ("keys", "sketch", "size")
+    rows = similar.prints(docs, digest).groupBy("doc_id", "digest", "fp").agg(F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in parts])
+
+    def edges(prints: DataFrame, _: DataFrame) -> DataFrame:
+        # one text of each set is enough to verify it
+        found = cut(prints.groupBy("fp").agg(F.min("first").alias("first"), *[F.any_value(c).alias(c) for c in parts]))
+
+        def texts(nodes: DataFrame) -> DataFrame:
+            one = found.join(nodes, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
+            held = docs.select("doc_id", "text", digest.alias("digest"))
+            return held.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("fp", F.col("text").cast("string").alias("text"))
+
+        return similar.links(found.drop("first"), texts)
+
+    rows = cut(_linked(rows, F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "digest"), edges).select("first", "head", "n"))
     pick = lambda d: d.select(F.col("first.doc_id").alias("_near_id"), F.col("first.digest").alias("_near_digest"))
     gone, repeated = pick(rows.filter("first <> head")), pick(rows.filter("first = head AND n > 1"))
     same = F.col("doc_id").eqNullSafe(F.col("_near_id")) & (digest == F.col("_near_digest"))

@@ -300,3 +300,30 @@ def test_pipeline_against_brute_force(spark):
     for r in out:
         tokens[r.doc_id] += r.n_tokens
     assert tokens == {i: len(t.encode()) + 1 for i, t in want.items()}
+
+
+@pytest.mark.parametrize("dense", [48, 2])
+def test_near_dedup_finds_all_texts_of_similarity_08(spark, monkeypatch, dense):
+    from seismark.llm import similar
+
+    monkeypatch.setattr(similar, "DENSE", dense)
+    rng, texts = random.Random(3), []
+    for family in range(6):
+        base = [f"w{family}x{rng.randrange(10**6)}" for _ in range(150)]
+        for copy in range(12):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+                words[rng.randrange(150)] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = {r.doc_id for r in simhash.keep(docs(spark, texts)).collect()}
+    assert got == set(root) and len(got) < len(texts)
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    parts = brute_components(set(prints))
+    assert len({parts[f] for f in prints}) > len(got)
