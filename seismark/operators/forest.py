@@ -1,7 +1,7 @@
 """An isolation forest (Liu, Ting and Zhou 2008) on DataFrames.
 
-Each tree grows in a task of its own from a keyed sample; the node table is
-small and goes to the scoring tasks as one broadcast.
+Each tree grows from a keyed sample of all rows; the node table is small and
+goes to the scoring tasks as one broadcast.
 """
 
 from __future__ import annotations
@@ -62,33 +62,42 @@ class Forest:
         return Forest(spark.read.parquet(path), samples, columns)
 
 
+def draw(rows: DataFrame, total: int, config: ModelConfig) -> DataFrame:
+    """``rows`` with tree and _hash: for each tree at least its ``samples`` rows of least keyed hash.
+
+    Rows of each tree are first cut at a hash that leaves eight deviations
+    more than are wanted, so any of the ``total`` rows may be drawn and few
+    are carried on.
+    """
+    size = min(config.samples, total)
+    share = min(1.0, (size + 8 * math.sqrt(size) + 16) / total)
+    trees = F.sequence(F.lit(0), F.lit(config.trees - 1))
+    keys = F.transform(trees, lambda t: F.struct(t.alias("tree"), F.xxhash64("symbol", "dt", F.lit(config.seed), t).alias("_hash")))
+    near = F.filter(keys, lambda k: k["_hash"] <= int(min(share * 2.0**64 - 2.0**63, float(2**63 - 1024)))) if share < 1 else keys
+    return rows.withColumn("_key", F.explode(near)).select(*rows.columns, "_key.tree", "_key._hash")
+
+
 def fit(features: DataFrame, config: ModelConfig = ModelConfig(), columns: tuple[str, ...] = FEATURE_COLUMNS) -> Forest:
     """Grow all trees. Rows with a missing feature are left out; none left raises.
 
-    A tree's sample is the ``samples`` rows of least keyed hash, found by a
-    bounded top-k, so it does not depend on how rows are laid out.
+    A tree's sample is the ``samples`` rows of least keyed hash among all
+    complete rows, so it does not depend on how rows are laid out.
     """
     rows = features.select("symbol", "dt", *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     total = rows.count()
     if not total:
         raise ValueError("no complete rows to fit on")
-    size = min(config.samples, total)
-    # one pooled draw, large enough for all trees, then hashed per tree
-    pool = rows.orderBy(F.xxhash64("symbol", "dt", F.lit(config.seed)), "symbol", "dt").limit(min(total, max(size, 20 * config.samples)))
-    trees = rows.sparkSession.range(config.trees).select(F.col("id").cast("int").alias("tree"))
-    arr = pool.agg(F.sort_array(F.collect_list(F.struct("symbol", "dt", *columns))).alias("_pool")).withColumn("_k", F.lit(1))
-    work = trees.withColumn("_k", F.lit(1)).join(F.broadcast(arr), "_k").repartition(min(config.trees, 64), "tree")
-    seed, names = config.seed, list(columns)
-
-    def run(batches):
-        for pdf in batches:
-            for tree, held in zip(pdf["tree"], pdf["_pool"], strict=True):
-                x = np.array([[r[c] for c in names] for r in held])
-                rng = np.random.default_rng([seed, int(tree)])
-                nodes = grow(x[rng.choice(len(x), size, replace=False)], rng)
-                yield pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
-
-    return Forest(work.select("tree", "_pool").mapInPandas(run, NODES), size, columns)
+    size, seed, names = min(config.samples, total), config.seed, list(columns)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        held = pdf.sort_values(["_hash", "symbol", "dt", *names]).head(size)
+        if len(held) < size:
+            raise RuntimeError(f"tree {tree} drew {len(held)} of {size} rows")
+        nodes = grow(held[names].to_numpy(dtype=float), np.random.default_rng([seed, tree]))
+        return pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+
+    return Forest(draw(rows, total, config).groupBy("tree").applyInPandas(run, NODES), size, columns)
 
 
 def score(features: DataFrame, forest: Forest) -> DataFrame:

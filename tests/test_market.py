@@ -153,3 +153,20 @@ def test_streamed_signals_equal_batch(spark, tmp_path):
     out = replay.run(spark, [str(tmp_path / f"in/b{k}") for k in range(3)], str(tmp_path / "out"), str(tmp_path / "state"))
     same = lambda d: [(r.dt, r.in_position, r.action) for r in d.orderBy("dt").collect()]
     assert same(out) == same(signals.generate(frame))
+
+
+def test_forest_trees_draw_from_all_rows(spark):
+    c = ModelConfig(trees=60, samples=16)
+    rows = spark.createDataFrame([("A", DAY + dt.timedelta(i), float(i)) for i in range(3000)], "symbol string, dt date, x double")
+
+    def samples(r):
+        by_tree = {}
+        for d in forest.draw(r, 3000, c).collect():
+            by_tree.setdefault(d.tree, []).append((d._hash, d.x))
+        return {t: [x for _, x in sorted(v)[:16]] for t, v in by_tree.items()}
+
+    drawn = samples(rows)
+    assert set(drawn) == set(range(60)) and all(len(set(v)) == 16 for v in drawn.values())
+    assert len({x for v in drawn.values() for x in v}) > 20 * 16
+    assert drawn == samples(rows.repartition(7, "x"))
+    assert {r.tree for r in forest.fit(rows, c, ("x",)).nodes.collect()} == set(range(60))
