@@ -327,3 +327,15 @@ def test_near_dedup_finds_all_texts_of_similarity_08(spark, monkeypatch, dense):
     prints = [simhash.fingerprint(t.encode()) for t in texts]
     parts = brute_components(set(prints))
     assert len({parts[f] for f in prints}) > len(got)
+
+
+@pytest.mark.parametrize("copies", [4, 7])
+def test_sharding_keeps_groups_without_singles(spark, copies):
+    texts = [f"copy{i // copies}" for i in range(60 * copies)]
+    out = sharding.assign(docs(spark, texts), shards=8).collect()
+    sizes = Counter(r.shard for r in out)
+    assert len(out) == len(texts) and max(sizes.values()) - min(sizes.values()) <= 1
+    where = {}
+    for r in out:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(w) > 1 for w in where.values()) < 8 and max(map(len, where.values())) <= 2
