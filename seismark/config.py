@@ -1,10 +1,34 @@
-"""Settings of the engine, as plain frozen values passed to operators."""
+"""Settings of the engine, as plain frozen values passed to operators.
+
+The defaults of cleaning, gate, features, bands, signals, labels, costs, tax,
+model and retraining are fixed values: results match only with these.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 
+@dataclass(frozen=True)
+class WindowConfig:
+    """Training must end before the backtest begins."""
+
+    train_start: str = "2016-01-01"
+    train_end: str = "2020-12-31"
+    backtest_start: str = "2021-01-01"
+    backtest_end: str = "2026-06-05"
+    stress_train_end: str = "2019-12-31"
+
+    def __post_init__(self) -> None:
+        if dt.date.fromisoformat(self.train_end) >= dt.date.fromisoformat(self.backtest_start):
+            raise ValueError("the training window must end before the backtest begins")
+
+    @property
+    def backtest_years(self) -> float:
+        return (dt.date.fromisoformat(self.backtest_end) - dt.date.fromisoformat(self.backtest_start)).days / 365.25
+
+
 @dataclass(frozen=True)
 class CleaningConfig:
     date_format: str = "dd-MM-yyyy"
@@ -61,6 +85,7 @@ class LabelConfig:
     horizon: int = 5
     crash: float = -0.10
     rally: float = 0.10
+    index_crash: float = -0.05
     min_gap: int = 10
     max_lookback: int = 15
 

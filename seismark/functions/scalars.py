@@ -15,6 +15,11 @@ def safe_log(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
+def simple_percent(log_return: Column) -> Column:
+    """A log return as a simple return in per cent, for reports."""
+    return F.expm1(log_return) * 100
+
+
 def guarded(num: Column, den: Column) -> Column:
     """num / den where den is clearly above zero, else NULL."""
     return num / F.when(den > EPS, den)

@@ -92,14 +92,31 @@ def audit(raw: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFram
 
 def universe(raw: DataFrame, symbols: list[str] | None = None, usable_only: bool = True, config: CleaningConfig = CleaningConfig()) -> DataFrame:
     """Cleaned bars of the chosen (by default all), usable symbols."""
-    picked = raw if symbols is None else raw.filter(F.col("symbol").isin([s.strip() for s in symbols]))
+    picked = raw if symbols is None else raw.filter(F.col("symbol").isin(asked_names(symbols)))
     bars = clean(picked, config)
     if not usable_only:
         return bars
     return bars.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).filter(F.col("_n") >= config.min_bars).drop("_n")
 
 
+def asked_names(symbols: list[str]) -> list[str]:
+    """Names as they are stored: without blanks around them, in upper case unless asked for as they are."""
+    bare = [s.strip() for s in symbols]
+    return sorted({*bare, *(s.upper() for s in bare)})
+
+
+def load_symbol(raw: DataFrame, symbol: str, strict: bool = True, config: CleaningConfig = CleaningConfig()) -> DataFrame:
+    """Cleaned bars of one symbol. A symbol that the source lacks raises, and so does, if ``strict``, one that is not usable."""
+    mine = raw.filter(F.col("symbol") == symbol)
+    found = audit(mine, config).select("usable", "reason").collect()
+    if not found:
+        raise LookupError(f"no bars of {symbol!r}")
+    if strict and not found[0].usable:
+        raise ValueError(f"{symbol!r} is not usable: {found[0].reason}")
+    return clean(mine, config)
+
+
 def unknown_symbols(raw: DataFrame, symbols: list[str]) -> list[str]:
     """The names asked for that the source lacks."""
     asked = raw.sparkSession.createDataFrame([(s.strip(),) for s in symbols], "symbol string")
-    return sorted(r.symbol for r in asked.join(raw.select("symbol").distinct(), "symbol", "left_anti").collect())
+    return sorted(r.symbol for r in asked.join(raw.select(F.upper("symbol").alias("_u")).distinct(), F.upper("symbol") == F.col("_u"), "left_anti").collect())

@@ -15,30 +15,31 @@ def series(equity: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def stats(equity: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Depth, first peak and trough, recovery, sessions under water and the longest spell."""
+    """Depth, first peak and trough, recovery, sessions under water and the longest spell.
+
+    All windows share one partitioning and order, and so does the grouping.
+    """
     k = list(keys)
-    order = Window.partitionBy(*k).orderBy("dt")
-    dd = series(equity, keys).withColumn("n", F.row_number().over(order))
-    low = dd.groupBy(*k).agg(F.min(F.struct("dd", "dt", "n")).alias("t"))
-    on = lambda a, b: a.join(b, k) if k else a.crossJoin(b)  # noqa: E731  b is a single row then
-    d = on(dd, low)
-    peak = d.filter("dt <= t.dt").groupBy(*k).agg(F.max(F.struct("equity", (-F.col("n")).alias("m"))).alias("p"))
-    peaks = on(d, peak)
-    found = peaks.groupBy(*k).agg(
-        F.first("t.dd").alias("max_drawdown"), F.min(F.when(F.col("n") == -F.col("p.m"), F.col("dt"))).alias("max_dd_start"), F.first("t.dt").alias("max_dd_trough"),
-        F.min(F.when((F.col("n") >= F.col("t.n")) & (F.col("equity") >= F.col("p.equity")), F.col("dt"))).alias("max_dd_recovered"),
-        F.min(F.when((F.col("n") >= F.col("t.n")) & (F.col("equity") >= F.col("p.equity")), F.col("n") - F.col("t.n"))).alias("time_to_recover"),
-        F.count_if(F.col("dd") < -1e-9).alias("days_under_water"),
+    order, all_ = Window.partitionBy(*k).orderBy("dt"), Window.partitionBy(*k)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    n = F.row_number().over(order)
+    d = series(equity, keys).withColumns({"n": n, "u": F.col("dd") < -1e-9})
+    # the running peak with its first session, and how long the curve has been under water
+    d = d.withColumns({
+        "p": F.max(F.struct("equity", (-F.col("n")).alias("m"))).over(upto),
+        "spell": F.when(F.col("u"), F.col("n") - F.coalesce(F.max(F.when(~F.col("u"), F.col("n"))).over(upto), F.lit(0))).otherwise(0),
+    })
+    d = d.withColumn("t", F.min(F.struct("dd", "n", "dt", "p")).over(all_))
+    back = (F.col("n") >= F.col("t.n")) & (F.col("equity") >= F.col("t.p.equity"))
+    return d.groupBy(*k).agg(
+        F.min("t.dd").alias("max_drawdown"), F.min(F.when(F.col("n") == -F.col("t.p.m"), F.col("dt"))).alias("max_dd_start"), F.min("t.dt").alias("max_dd_trough"),
+        F.min(F.when(back, F.col("dt"))).alias("max_dd_recovered"), F.min(F.when(back, F.col("n") - F.col("t.n"))).alias("time_to_recover"),
+        F.count_if("u").alias("days_under_water"), F.coalesce(F.max("spell"), F.lit(0)).cast("long").alias("longest_underwater"),
     )
-    under = dd.withColumn("u", F.col("dd") < -1e-9)
-    spell = under.withColumn("g", F.sum(F.when(F.col("u"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    longest = spell.filter("u").groupBy(*k, "g").agg(F.count(F.lit(1)).alias("c")).groupBy(*k).agg(F.max("c").alias("l"))
-    out = found.join(longest, k, "left") if k else found.crossJoin(longest)
-    return out.withColumn("longest_underwater", F.coalesce("l", F.lit(0))).drop("l")
 
 
 def by_symbol(bars: DataFrame, signals: DataFrame, min_bars: int = 250) -> DataFrame:
-    """Strategy against buy and hold, per symbol with enough bars."""
+    """Strategy against buy and hold, per symbol with enough bars. Both curves go through the same windows."""
     order = Window.partitionBy("symbol").orderBy("dt")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     d = bars.select("symbol", "dt", "close", F.count(F.lit(1)).over(Window.partitionBy("symbol")).alias("_n")).filter(F.col("_n") >= min_bars)
@@ -47,14 +48,16 @@ def by_symbol(bars: DataFrame, signals: DataFrame, min_bars: int = 250) -> DataF
     d = d.withColumn("ret", ret).withColumn("held", F.coalesce("in_position", F.lit(True)))
     grown = lambda r: F.exp(F.sum(F.ln(r + 1)).over(upto))
     d = d.withColumns({"s": grown(F.when(F.col("held"), F.col("ret")).otherwise(0.0)), "b": grown(F.col("ret"))})
-    stat = lambda c, p: stats(d.select("symbol", "dt", F.col(c).alias("equity")), ("symbol",)).select(
-        "symbol", *[F.col(x).alias(p + x) for x in ("max_drawdown", "days_under_water", "longest_underwater", "time_to_recover")]
-    )
+    curves = F.explode(F.array(F.struct(F.lit("s").alias("curve"), F.col("s").alias("equity")), F.struct(F.lit("b").alias("curve"), F.col("b").alias("equity"))))
+    names = ("max_drawdown", "days_under_water", "longest_underwater", "time_to_recover")
+    each = stats(d.select("symbol", "dt", curves.alias("_c")).select("symbol", "dt", "_c.curve", "_c.equity"), ("symbol", "curve"))
+    of = lambda curve, name: F.max(F.when(F.col("curve") == curve, F.col(name)))
+    found = each.groupBy("symbol").agg(*[of("s", x).alias(x) for x in names], *[of("b", x).alias(f"bh_{x}") for x in names])
     use = d.groupBy("symbol").agg(
         (F.max_by("s", "dt") - 1).alias("strategy_return"), (F.max_by("b", "dt") - 1).alias("bh_return"),
         F.count_if(is_sell(F.col("action"))).alias("exits"), ((1 - F.avg(F.col("held").cast("double"))) * 100).alias("pct_days_in_cash"),
     )
-    both = use.join(stat("s", ""), "symbol").join(stat("b", "bh_"), "symbol")
+    both = use.join(found, "symbol")
     return both.withColumnRenamed("max_drawdown", "strategy_max_drawdown").withColumn("drawdown_saved_pp", (F.col("strategy_max_drawdown") - F.col("bh_max_drawdown")) * 100)
 
 

@@ -1,23 +1,31 @@
 """An isolation forest (Liu, Ting and Zhou 2008) on DataFrames.
 
-Each tree grows from a keyed sample of all rows; the node table is small and
-goes to the scoring tasks as one broadcast.
+Each tree grows from a keyed sample of all rows, one small group a tree, level
+by level in numpy. Forests of many training sets (one for each refit date) are
+grown in one job. A forest is a table of at most trees * 2 * samples nodes, so
+it is held by the driver and broadcast to the scoring tasks.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seismark.config import FEATURE_COLUMNS, ModelConfig
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
+_NAMES = ["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]
 EULER = 0.5772156649015329
+#: Rows scored at once, so that what a task works on stays in its cache.
+CHUNK = 4096
 
 
 def path_norm(n: int) -> float:
@@ -28,104 +36,229 @@ def path_norm(n: int) -> float:
 
 
 def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """(node, feature, threshold, left, right, size, depth) of one tree; leaves have feature -1."""
-    limit, nodes, todo = math.ceil(math.log2(max(2, len(x)))), [], [(0, np.arange(len(x)), 0)]
-    made = 1
-    while todo:
-        node, rows, depth = todo.pop()
-        part = x[rows]
-        low, high = part.min(0), part.max(0)
-        open_ = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or not len(open_):
-            nodes.append((node, -1, 0.0, -1, -1, len(rows), depth))
-            continue
-        f = int(rng.choice(open_))
-        cut = float(rng.uniform(low[f], high[f]))
-        under = part[:, f] < cut
-        nodes.append((node, f, cut, made, made + 1, len(rows), depth))
-        todo += [(made, rows[under], depth + 1), (made + 1, rows[~under], depth + 1)]
-        made += 2
-    return nodes
+    """(node, feature, threshold, left, right, size, depth) of one tree; leaves have feature -1.
+
+    The children of node i are 2i + 1 and 2i + 2. All nodes of a level are split at once.
+    """
+    limit = math.ceil(math.log2(max(2, len(x))))
+    total = 2 ** (limit + 1) - 1
+    feature, threshold, size = np.full(total, -1), np.zeros(total), np.zeros(total, int)
+    size[0], at, live = len(x), np.zeros(len(x), int), np.arange(len(x))
+    for _ in range(limit):
+        rows = live[np.argsort(at[live], kind="stable")]
+        starts = np.flatnonzero(np.r_[True, np.diff(at[rows]) > 0])
+        nodes, k = at[rows[starts]], np.arange(len(starts))
+        low, high = np.minimum.reduceat(x[rows], starts), np.maximum.reduceat(x[rows], starts)
+        open_ = high > low
+        split = open_.any(1)
+        pick = np.floor(rng.random(len(k)) * open_.sum(1))
+        f = np.argmax(np.cumsum(open_, 1) > pick[:, None], 1)
+        cut = low[k, f] + rng.random(len(k)) * (high[k, f] - low[k, f])
+        feature[nodes[split]], threshold[nodes[split]] = f[split], cut[split]
+        of = np.repeat(k, np.diff(np.r_[starts, len(rows)]))
+        live, of = rows[split[of]], of[split[of]]
+        if not len(live):
+            break
+        at[live] = 2 * at[live] + 1 + (x[live, f[of]] >= cut[of])
+        size += np.bincount(at[live], minlength=total)
+    there = np.zeros(total, bool)
+    there[0] = True
+    inner = np.flatnonzero(feature >= 0)
+    there[2 * inner + 1] = there[2 * inner + 2] = True
+    ids = np.flatnonzero(there)
+    left = np.where(feature[ids] >= 0, 2 * ids + 1, -1)
+    right = np.where(feature[ids] >= 0, 2 * ids + 2, -1)
+    depth = np.floor(np.log2(ids + 1)).astype(int)
+    return list(zip(*(c.tolist() for c in (ids, feature[ids], threshold[ids], left, right, size[ids], depth)), strict=True))
 
 
 @dataclass
 class Forest:
-    nodes: DataFrame
+    """``table``: the nodes as a pandas frame. ``scale``: sorted scores of training rows, of which intensities are shares."""
+
+    table: pd.DataFrame
     samples: int
     columns: tuple[str, ...] = FEATURE_COLUMNS
+    scale: np.ndarray | None = None
+    spark: SparkSession | None = None
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self.spark.createDataFrame(self.table, NODES)
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """feature, threshold and path length at the end, each by tree and node."""
+        if self.table.empty:
+            raise ValueError("the forest is not fitted")
+        t, n = self.table["tree"].to_numpy(), self.table["node"].to_numpy()
+        shape = (int(t.max()) + 1, int(n.max()) + 1)
+        feature, threshold, ends = np.full(shape, -1, np.int8), np.zeros(shape), np.zeros(shape)
+        feature[t, n], threshold[t, n] = self.table["feature"], self.table["threshold"]
+        norms = np.array([path_norm(k) for k in range(int(self.table["size"].max()) + 1)])
+        ends[t, n] = self.table["depth"].to_numpy() + norms[self.table["size"].to_numpy()]
+        return feature, threshold, ends
 
     def save(self, path: str) -> None:
-        self.nodes.write.mode("overwrite").parquet(path)
+        """Nodes, settings and score distribution: without the scale no intensity can be told."""
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        meta = json.dumps({"samples": self.samples, "columns": list(self.columns)})
+        self.spark.createDataFrame([(meta,)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
+        scores = [] if self.scale is None else [(float(s),) for s in self.scale]
+        self.spark.createDataFrame(scores, "score double").write.mode("overwrite").parquet(f"{path}/scale")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, samples: int, columns: tuple[str, ...] = FEATURE_COLUMNS) -> Forest:
-        return Forest(spark.read.parquet(path), samples, columns)
+    def load(spark: SparkSession, path: str) -> Forest:
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first().meta)
+        scale = np.sort(spark.read.parquet(f"{path}/scale").toPandas()["score"].to_numpy(dtype=float))
+        table = spark.read.parquet(f"{path}/nodes").toPandas()
+        return Forest(table, meta["samples"], tuple(meta["columns"]), scale, spark)
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Numbered training rows: ``frame`` has g from 0 to ``total`` - 1 and, by session, where its numbers start."""
+
+    frame: DataFrame
+    days: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
 
+    @property
+    def total(self) -> int:
+        return int(self.counts.sum())
 
-def draw(rows: DataFrame, total: int, config: ModelConfig) -> DataFrame:
-    """``rows`` with tree and _hash: for each tree at least its ``samples`` rows of least keyed hash.
+    def spans(self, mask: np.ndarray | None = None) -> np.ndarray:
+        """(first number, rows) of the sessions that ``mask`` lets through."""
+        mask = np.ones(len(self.days), bool) if mask is None else mask
+        return np.stack([self.starts[mask], self.counts[mask]], 1)
 
-    Rows of each tree are first cut at a hash that leaves eight deviations
-    more than are wanted, so any of the ``total`` rows may be drawn and few
-    are carried on.
+
+def numbered(features: DataFrame, columns: tuple[str, ...] = FEATURE_COLUMNS) -> Rows:
+    """The complete rows of ``features``, numbered by date and symbol; a number is found within its session."""
+    rows = features.select("symbol", "dt", *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    found = sorted((str(r.dt), r.n) for r in rows.groupBy("dt").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per session
+    counts = np.array([n for _, n in found], np.int64)
+    starts = np.cumsum(counts) - counts
+    spark = features.sparkSession
+    first = spark.createDataFrame([(d, int(x)) for (d, _), x in zip(found, starts, strict=True)], "d string, start long").select(F.to_date("d").alias("dt"), "start")
+    inside = F.row_number().over(Window.partitionBy("dt").orderBy("symbol", *columns)) - 1
+    frame = rows.withColumn("_in", inside).join(first, "dt").withColumn("g", F.col("start") + F.col("_in")).drop("start", "_in")
+    return Rows(frame, np.array([d for d, _ in found], "datetime64[D]"), starts, counts)
+
+
+def draw(frame: DataFrame, spans: dict[str, np.ndarray], jobs: list[tuple[str, int, int]], seed: int = 0) -> DataFrame:
+    """``frame`` (with g) by key and tree: for each job (key, tree, n) n rows drawn without replacement from the key's spans.
+
+    A key's rows are told by number alone, so what is drawn depends neither on
+    the layout nor on how many rows there are besides: the numbers are made
+    on executors and joined to the rows.
     """
-    size = min(config.samples, total)
-    share = min(1.0, (size + 8 * math.sqrt(size) + 16) / total)
-    trees = F.sequence(F.lit(0), F.lit(config.trees - 1))
-    keys = F.transform(trees, lambda t: F.struct(t.alias("tree"), F.xxhash64("symbol", "dt", F.lit(config.seed), t).alias("_hash")))
-    near = F.filter(keys, lambda k: k["_hash"] <= int(min(share * 2.0**64 - 2.0**63, float(2**63 - 1024)))) if share < 1 else keys
-    return rows.withColumn("_key", F.explode(near)).select(*rows.columns, "_key.tree", "_key._hash")
+    sent = frame.sparkSession.sparkContext.broadcast(spans)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, tree, n in pdf.itertuples(index=False):
+                start, count = sent.value[key].T
+                cum = np.cumsum(count)
+                total = int(cum[-1])
+                rng = np.random.default_rng([seed, zlib.crc32(key.encode()), tree + 1])
+                spots = np.arange(total) if n >= total else rng.choice(total, n, replace=False)
+                at = np.searchsorted(cum, spots, side="right")
+                yield pd.DataFrame({"key": key, "tree": tree, "g": start[at] + spots - (cum[at] - count[at])})
+
+    spark = frame.sparkSession
+    asked = spark.createDataFrame(jobs, "key string, tree int, n long").repartition(min(len(jobs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return asked.mapInPandas(run, "key string, tree int, g long").join(frame, "g")
 
 
-def fit(features: DataFrame, config: ModelConfig = ModelConfig(), columns: tuple[str, ...] = FEATURE_COLUMNS) -> Forest:
-    """Grow all trees. Rows with a missing feature are left out; none left raises.
+def fit_each(frame: DataFrame, spans: dict[str, np.ndarray], config: ModelConfig = ModelConfig(), columns: tuple[str, ...] = FEATURE_COLUMNS) -> dict[str, Forest]:
+    """A forest for each key of ``spans``, grown in one job from the numbered rows ``frame`` (g, complete features).
 
-    A tree's sample is the ``samples`` rows of least keyed hash among all
-    complete rows, so it does not depend on how rows are laid out.
+    A tree's sample is ``samples`` rows of all its key's, a key's scale the
+    scores of ``max_scores`` of them.
     """
-    rows = features.select("symbol", "dt", *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    total = rows.count()
-    if not total:
-        raise ValueError("no complete rows to fit on")
-    size, seed, names = min(config.samples, total), config.seed, list(columns)
+    spark, seed, names = frame.sparkSession, config.seed, list(columns)
+    totals = {k: int(v[:, 1].sum()) for k, v in spans.items()}
+    slim = frame.select("g", *names)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        held = pdf.sort_values(["_hash", "symbol", "dt", *names]).head(size)
-        if len(held) < size:
-            raise RuntimeError(f"tree {tree} drew {len(held)} of {size} rows")
-        nodes = grow(held[names].to_numpy(dtype=float), np.random.default_rng([seed, tree]))
-        return pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+        key, tree = str(pdf["key"].iloc[0]), int(pdf["tree"].iloc[0])
+        x = pdf.sort_values("g")[names].to_numpy(dtype=float)
+        return pd.DataFrame([(key, tree, *n) for n in grow(x, np.random.default_rng([seed, tree]))], columns=["key", *_NAMES])
+
+    jobs = [(k, t, min(config.samples, n)) for k, n in totals.items() for t in range(config.trees)]
+    grown = draw(slim, spans, jobs, seed).groupBy("key", "tree").applyInPandas(run, f"key string, {NODES}").toPandas()
+    out = {k: Forest(t[_NAMES].reset_index(drop=True), min(config.samples, totals[k]), columns, None, spark) for k, t in grown.groupby("key")}
+    some = draw(slim, spans, [(k, -1, min(config.max_scores, n)) for k, n in totals.items()], seed)
+    scores = score_each(some, out, "key").select("key", "score").toPandas()  # at most max_scores a key
+    for k, part in scores.groupby("key")["score"]:
+        out[k].scale = np.sort(part.to_numpy(dtype=float))
+    return out
+
+
+def fit(features: DataFrame, config: ModelConfig = ModelConfig(), columns: tuple[str, ...] = FEATURE_COLUMNS, exclude_dates: DataFrame | None = None) -> Forest:
+    """Grow all trees and take the scale. Rows with a missing feature, and rows of ``exclude_dates`` (dt), are left out; none left raises."""
+    kept = features if exclude_dates is None else features.join(exclude_dates.select("dt").distinct(), "dt", "left_anti")
+    rows = numbered(kept, columns)
+    if not rows.total:
+        raise ValueError("no complete rows to fit on")
+    return fit_each(rows.frame, {"all": rows.spans()}, config, columns)["all"]
+
+
+def mean_paths(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Mean path length of each row of ``x`` over all trees."""
+    out = np.zeros(len(x))
+    for a in range(0, len(x), CHUNK):
+        part = x[a : a + CHUNK]
+        rows, total = np.arange(len(part)), np.zeros(len(part))
+        for f, cut, end in zip(feature, threshold, ends, strict=True):
+            at = np.zeros(len(part), int)
+            while (inner := (g := f[at]) >= 0).any():
+                at = np.where(inner, 2 * at + 1 + (part[rows, g] >= cut[at]), at)
+            total += end[at]
+        out[a : a + CHUNK] = total / len(feature)
+    return out
+
+
+def score_each(rows: DataFrame, forests: dict[str, Forest], key: str) -> DataFrame:
+    """``rows`` with score and, where the forest has a scale, intensity, by the forest of the row's ``key``.
+
+    score: 2 ** (-mean path / norm); NULL where a feature is missing. A task
+    opens only the forests of its own rows.
+    """
+    context = rows.sparkSession.sparkContext
+    sent = {k: context.broadcast((f.packed(), path_norm(f.samples), f.scale)) for k, f in forests.items()}
+    names = list(next(iter(forests.values())).columns) if forests else []
+
+    def scored(x: np.ndarray, k: str) -> tuple[np.ndarray, np.ndarray]:
+        packed, norm, scale = sent[k].value
+        ok = np.isfinite(x).all(1)
+        out, share = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        out[ok] = 2 ** (-mean_paths(x[ok], *packed) / norm) if norm else 0.5
+        if scale is not None and len(scale):
+            share[ok] = np.searchsorted(scale, out[ok], side="right") / len(scale)
+        return out, share
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, keys = pdf[[f"_x{i}" for i in range(len(names))]].to_numpy(dtype=float), pdf[key].to_numpy()
+            out, share = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+            for k in pd.unique(keys):
+                mine = keys == k
+                if k in sent:
+                    out[mine], share[mine] = scored(x[mine], k)
+            done = pdf[kept].copy()
+            done["score"], done["intensity"] = out, share
+            yield done
 
-    return Forest(draw(rows, total, config).groupBy("tree").applyInPandas(run, NODES), size, columns)
+    kept = [c for c in rows.columns if c not in ("score", "intensity")]
+    given = rows.select(*[F.col(c) for c in kept], *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
+    schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in kept)
+    null = lambda c: F.nullif(F.col(c), F.lit(float("nan"))).alias(c)
+    done = given.mapInPandas(run, f"{schema}, score double, intensity double")
+    return done.select(*[F.col(f"`{c}`") for c in kept], null("score"), null("intensity"))
 
 
 def score(features: DataFrame, forest: Forest) -> DataFrame:
-    """``features`` with score: 2 ** (-mean path / norm); NULL where a feature is missing."""
-    nodes = forest.nodes.toPandas()  # at most trees * 2 * samples rows
-    if nodes.empty:
-        raise ValueError("the forest is not fitted")
-    packed = []
-    for _, t in nodes.sort_values("node").groupby("tree"):
-        ends = t["depth"].to_numpy() + np.array([path_norm(n) for n in t["size"]])
-        packed.append((t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(), ends))
-    sent = features.sparkSession.sparkContext.broadcast(packed)
-    norm, names = path_norm(forest.samples), list(forest.columns)
-
-    @F.pandas_udf("double")
-    def scored(x: pd.DataFrame) -> pd.Series:
-        values = x[names].to_numpy(dtype=float)
-        ok = np.isfinite(values).all(1)
-        live, total = values[ok], np.zeros(ok.sum())
-        for feature, cut, left, right, ends in sent.value:
-            at = np.zeros(len(live), int)
-            while (inner := np.flatnonzero(feature[at] >= 0)).size:
-                n = at[inner]
-                at[inner] = np.where(live[inner, feature[n]] < cut[n], left[n], right[n])
-            total += ends[at]
-        out = np.full(len(x), np.nan)
-        out[ok] = 2 ** (-total / len(sent.value) / norm) if norm else 0.5
-        return pd.Series(out)
-
-    full = F.struct(*[F.col(c).cast("double").alias(c) for c in names])
-    return features.withColumn("score", F.nullif(scored(full), F.lit(float("nan"))))
+    """``features`` with score, and intensity on the forest's own scale."""
+    return score_each(features.withColumn("_forest", F.lit("all")), {"all": forest}, "_forest").drop("_forest")

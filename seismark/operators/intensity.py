@@ -53,3 +53,14 @@ def ecdf_per_symbol(scores: DataFrame, train: DataFrame, score: str = "score", l
 
 def band_counts(intensities: DataFrame) -> DataFrame:
     return intensities.groupBy(band(F.col("intensity")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("symbol").alias("symbols"))
+
+
+def alert_rates(intensities: DataFrame) -> DataFrame:
+    """One row over ``intensities`` (symbol, dt, intensity, phase): high-band alerts, their rate per symbol and year, and the share in an accelerating decline."""
+    high = band(F.col("intensity")) == "High"
+    years = F.datediff(F.max("dt"), F.min("dt")) / 365.25
+    falling = F.count_if(high & (F.col("phase") == "AcceleratingDecline"))
+    return intensities.agg(
+        F.count_if(high).alias("high_alerts"), F.try_divide(F.count_if(high), F.count_distinct("symbol") * years).alias("per_symbol_year"),
+        falling.alias("declining"), F.try_divide(falling, F.greatest(F.count_if(high), F.lit(1))).alias("declining_share"),
+    )

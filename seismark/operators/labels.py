@@ -28,12 +28,13 @@ def full_forward_drawdown(horizon: int) -> Column:
     return F.when(F.count("close").over(w) == horizon, F.min("close").over(w) / F.col("close") - 1)
 
 
-def label_days(bars: DataFrame, c: LabelConfig = LabelConfig()) -> DataFrame:
-    """symbol, dt, pos (bar number), fwd_dd, fwd_up, is_crash, is_rally."""
+def label_days(bars: DataFrame, c: LabelConfig = LabelConfig(), index_symbol: str | None = None) -> DataFrame:
+    """symbol, dt, pos (bar number), fwd_dd, fwd_up, is_crash, is_rally. An index crashes at its own, lesser fall."""
     d = bars.select("symbol", "dt", "close", (F.row_number().over(by_symbol()) - 1).alias("pos"))
     d = d.withColumns({"fwd_dd": forward_drawdown(c.horizon), "fwd_up": forward_runup(c.horizon)})
     false = F.lit(False)
-    return d.withColumns({"is_crash": F.coalesce(F.col("fwd_dd") <= c.crash, false), "is_rally": F.coalesce(F.col("fwd_up") >= c.rally, false)}).drop("close")
+    fall = F.when(F.col("symbol") == index_symbol, c.index_crash).otherwise(c.crash) if index_symbol else F.lit(c.crash)
+    return d.withColumns({"is_crash": F.coalesce(F.col("fwd_dd") <= fall, false), "is_rally": F.coalesce(F.col("fwd_up") >= c.rally, false)}).drop("close")
 
 
 def onsets(days: DataFrame, flag: str, min_gap: int = 10) -> DataFrame:
@@ -53,9 +54,9 @@ def onsets(days: DataFrame, flag: str, min_gap: int = 10) -> DataFrame:
     return kept.select("symbol", "_o.dt")
 
 
-def label_events(bars: DataFrame, c: LabelConfig = LabelConfig()) -> DataFrame:
+def label_events(bars: DataFrame, c: LabelConfig = LabelConfig(), index_symbol: str | None = None) -> DataFrame:
     """symbol, dt, kind of all onsets."""
-    days = label_days(bars, c)
+    days = label_days(bars, c, index_symbol)
     kinds = [onsets(days, f"is_{k}", c.min_gap).withColumn("kind", F.lit(k)) for k in ("crash", "rally")]
     return kinds[0].unionByName(kinds[1])
 

@@ -11,6 +11,10 @@ from seismark.functions.scalars import rolling, trailing
 from seismark.operators.features import with_returns
 
 
+#: Returns and volatilities that differ by less are equal in exact arithmetic.
+TOLERANCE = 1e-9
+
+
 class RegimeDetector(Protocol):
     """Anything that adds ``regime`` to bars and looks back only."""
 
@@ -27,10 +31,11 @@ def _quantiles(x: str, qs: tuple[float, ...], lookback: int, warmup: int) -> Col
 
 
 def _labels(x: Column, crash: Column, fall: Column, rise: Column, rally: Column) -> Column:
+    over = lambda bound: x >= bound - TOLERANCE
+    under = lambda bound: x <= bound + TOLERANCE
     return (
         F.when(x.isNull() | crash.isNull() | rally.isNull(), "Sideways")
-        .when((x < rally) & (x >= rise), "Rising").when(x >= rally, "Rally")
-        .when((x > crash) & (x <= fall), "Falling").when(x <= crash, "Crashing").otherwise("Sideways")
+        .when(over(rally), "Rally").when(over(rise), "Rising").when(under(crash), "Crashing").when(under(fall), "Falling").otherwise("Sideways")
     )
 
 
@@ -47,5 +52,5 @@ def detect(bars: DataFrame, mode: str = "per_symbol_percentile", reg_win: int =
         raise ValueError(f"unknown mode {mode!r}")
     d = d.withColumn("_v", _quantiles("hv", (0.33, 0.66), lookback, vol_warmup))
     low, high = F.get("_v", F.lit(0)), F.get("_v", F.lit(1))
-    vol = F.when(F.col("hv").isNull() | low.isNull(), "MedVol").when(F.col("hv") <= low, "LowVol").when(F.col("hv") >= high, "HighVol").otherwise("MedVol")
+    vol = F.when(F.col("hv").isNull() | low.isNull(), "MedVol").when(F.col("hv") <= low + TOLERANCE, "LowVol").when(F.col("hv") >= high - TOLERANCE, "HighVol").otherwise("MedVol")
     return d.select("symbol", "dt", "pct_per_day", regime.alias("regime"), "hv", vol.alias("vol_regime"))

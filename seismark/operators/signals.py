@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from seismark.config import SignalConfig
 from seismark.functions.scalars import is_sell, rolling
 
+#: Falls and slopes that differ by less are equal in exact arithmetic.
+TOLERANCE = 1e-9
 RULES = ("rally_signal", "decel", "time", "not_declining")
 
 
@@ -44,7 +46,7 @@ def watch_confirms(frame: DataFrame) -> Column:
     fast = F.coalesce(F.col("ret_1d") / F.when(F.col("vol") > 0, F.col("vol")), zero) if {"ret_1d", "vol"} <= set(frame.columns) else zero
     slope = F.coalesce("slope_z", zero) if "slope_z" in frame.columns else zero
     falling = F.coalesce(F.col("regime").isin("Crashing", "Falling"), F.lit(False)) if "regime" in frame.columns else F.lit(True)
-    return (fast < slope) & falling & (slope < 0)
+    return (fast < slope - TOLERANCE) & falling & (slope < -TOLERANCE)
 
 
 def step(state: tuple[bool, int, int], is_severe: bool, is_mild: bool, confirms: bool, slope: float, may_return: bool, c: SignalConfig) -> tuple[tuple[bool, int, int], str]:
@@ -72,7 +74,7 @@ def prepared(frame: DataFrame, rule: str = "not_declining", c: SignalConfig = Si
     """symbol, dt and the inputs of the state machine, computed in the JVM."""
     return frame.select(
         "symbol", "dt", severe(c).alias("severe"), mild(c).alias("mild"), watch_confirms(frame).alias("confirms"),
-        F.coalesce("slope_z", F.lit(0.0)).alias("slope"), reentry(rule, c).alias("reentry"),
+        F.when(F.abs("slope_z") > TOLERANCE, F.col("slope_z")).otherwise(0.0).alias("slope"), reentry(rule, c).alias("reentry"),
     )
 
 
@@ -119,19 +121,59 @@ def simple_returns(panel: DataFrame) -> DataFrame:
     return panel.select("symbol", "dt", (F.col("close") / F.lag("close").over(w) - 1).alias("ret"))
 
 
-def compare_reentry(frame: DataFrame, returns: DataFrame, years: float, c: SignalConfig = SignalConfig()) -> DataFrame:
-    """rule, trades_per_sym_yr, cash_share, cagr, max_drawdown, bh_cagr, bh_max_drawdown of all four rules."""
+def long_enough(frame: DataFrame, min_bars: int) -> DataFrame:
+    """The rows of symbols with ``min_bars`` rows or more."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    return frame.withColumn("_n", n).filter(F.col("_n") >= min_bars).drop("_n")
+
+
+def compare_reentry(frame: DataFrame, returns: DataFrame, years: float, c: SignalConfig = SignalConfig(), min_bars: int = 250) -> DataFrame:
+    """rule, trades_per_sym_yr, cash_share, cagr, max_drawdown, bh_cagr, bh_max_drawdown of all four rules.
+
+    Symbols with fewer than ``min_bars`` scored days take no part, but count among the symbols.
+    """
     n = returns.select("symbol").distinct().count()
-    flat = performance(equal_weight(returns.withColumn("in_position", F.lit(True))), years).select(F.col("cagr").alias("bh_cagr"), F.col("max_drawdown").alias("bh_max_drawdown"))
+    part = long_enough(frame, min_bars)
+    mine = returns.join(part.select("symbol").distinct(), "symbol", "left_semi")
+    flat = performance(equal_weight(mine.withColumn("in_position", F.lit(True))), years).select(F.col("cagr").alias("bh_cagr"), F.col("max_drawdown").alias("bh_max_drawdown"))
     out = None
     for rule in RULES:
-        held = returns.join(generate(frame, rule, c), ["symbol", "dt"], "left").withColumn("in_position", F.coalesce("in_position", F.lit(True)))
+        held = mine.join(generate(part, rule, c), ["symbol", "dt"], "left").withColumn("in_position", F.coalesce("in_position", F.lit(True)))
         use = held.agg((F.count_if(is_sell(F.col("action"))) / n / years).alias("trades_per_sym_yr"), (1 - F.avg(F.col("in_position").cast("double"))).alias("cash_share"))
         one = use.crossJoin(performance(equal_weight(held), years)).crossJoin(flat).withColumn("rule", F.lit(rule))  # single rows
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def best_rule(compared: DataFrame) -> str:
+    """The re-entry rule with the least drawdown, the first of RULES on ties."""
+    depth = {r.rule: r.max_drawdown for r in compared.select("rule", "max_drawdown").collect()}  # one row per rule
+    known = [r for r in RULES if depth.get(r) is not None]
+    return max(known, key=lambda r: depth[r]) if known else RULES[-1]
+
+
+def stress(scored: DataFrame, returns: DataFrame, windows: dict[str, tuple[str, str]], rule: str, c: SignalConfig = SignalConfig(), min_bars: int = 40) -> DataFrame:
+    """One row per window: returns and drawdowns with signals and without, and trades per symbol and year.
+
+    ``scored`` has intensities of a model fitted before all windows. Each
+    window starts its signals anew, on the symbols with ``min_bars`` days in it.
+    """
+    n, out = returns.select("symbol").distinct().count(), None
+    for label, (a, b) in windows.items():
+        inside = F.col("dt").between(F.lit(a).cast("date"), F.lit(b).cast("date"))
+        span = F.datediff(F.max("dt"), F.min("dt")) / 365.25
+        years = max(returns.filter(inside).agg(span.alias("y")).first().y or 0.0, 1 / 12)
+        part = long_enough(scored.filter(inside), min_bars)
+        mine = returns.filter(inside).join(part.select("symbol").distinct(), "symbol", "left_semi")
+        held = mine.join(generate(part, rule, c), ["symbol", "dt"], "left").withColumn("in_position", F.coalesce("in_position", F.lit(True)))
+        curve = lambda d: performance(equal_weight(d), 1.0).select((F.col("cagr") * 100).alias("ret"), (F.col("max_drawdown") * 100).alias("dd"))
+        with_, flat = curve(held).toDF("strategy_return", "strategy_drawdown"), curve(mine.withColumn("in_position", F.lit(True))).toDF("bh_return", "bh_drawdown")
+        use = held.agg((F.count_if(is_sell(F.col("action"))) / n / years).alias("trades_per_sym_yr"))
+        one = with_.crossJoin(flat).crossJoin(use).withColumns({"window": F.lit(label), "rule": F.lit(rule), "drawdown_saved": F.col("strategy_drawdown") - F.col("bh_drawdown")})  # single rows
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def contribution(returns: DataFrame, signals: DataFrame) -> DataFrame:
     """symbol, edge_pp, exits, share of the total absolute edge."""
     d = returns.join(signals.select("symbol", "dt", "in_position", "action"), ["symbol", "dt"], "left")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
+from typing import ClassVar
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seismark.config import CleaningConfig, LabelConfig
 from seismark.functions.scalars import band
-from seismark.operators import alignment, cleaning, features, intensity, labels, market, regime, signals
+from seismark.operators import alignment, backtest, cleaning, features, intensity, labels, market, regime, signals
 from seismark.sources import bars as source
 
 CLEANING = CleaningConfig(min_bars=200)
@@ -20,11 +23,42 @@ CAPITAL = 1_000_000.0
 CORR_WINDOW, MA_WINDOW, MIN_SYMBOLS = 5, 5, 5
 
 
+def _shared(make: Callable[[Context], DataFrame]) -> cached_property:
+    """A table that many queries read: made once and kept on the executors, with its lineage, so a lost part is made again."""
+
+    def build(self: Context) -> DataFrame:
+        return make(self).persist(StorageLevel.MEMORY_AND_DISK)
+
+    build.__doc__ = make.__doc__
+    return cached_property(build)
+
+
 class Context:
+    """The tables between the inputs and the queries. ``of`` gives one context for one state of the input files."""
+
+    _known: ClassVar[dict[tuple, Context]] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
-
-    @cached_property
+        self.walks: dict[str, DataFrame] = {}  # scored days by retraining scheme
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Context:
+        """The context of this session and these files; files that have changed since give a new one, and the last one's tables go."""
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir, *(source.state(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")))
+        if key not in cls._known:
+            for old in cls._known.values():
+                old.release()
+            cls._known = {key: cls(spark, sf_dir)}
+        return cls._known[key]
+
+    def release(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            for table in (*vars(self).values(), *self.walks.values()):
+                if isinstance(table, DataFrame):
+                    table.unpersist()
+
+    @_shared
     def bars(self) -> DataFrame:
         return source.from_lineitem(self.spark, self.dir)
 
@@ -36,11 +70,11 @@ class Context:
     def raw(self) -> DataFrame:
         return source.with_defects(self.bars)
 
-    @cached_property
+    @_shared
     def days(self) -> DataFrame:
         return alignment.calendar(self.bars)
 
-    @cached_property
+    @_shared
     def features(self) -> DataFrame:
         return features.precursors(self.flagged)
 
@@ -49,31 +83,34 @@ class Context:
         """Features with a plain score in place of the forest's, so that SQL can follow."""
         return self.features.withColumn("score", F.abs("slope_z") + F.abs(F.col("vol_ratio") - 1))
 
-    @cached_property
+    @_shared
     def scored(self) -> DataFrame:
         train = intensity.train_window(self.proxy, "1995-01-01", TRAIN_END)
         return intensity.ecdf(self.proxy, train)
 
-    @cached_property
+    @_shared
     def frame(self) -> DataFrame:
         """Signal inputs: scored days with an absolute-mode regime."""
         return self.scored.join(regime.detect(self.bars, "absolute", vol_warmup=1, lookback=2).select("symbol", "dt", "regime"), ["symbol", "dt"])
 
-    @cached_property
+    @_shared
     def signals(self) -> DataFrame:
         return signals.generate(self.frame, "not_declining")
 
-    @cached_property
-    def market(self) -> DataFrame:
+    def market_with(self, corr_window: int, ma_window: int, min_symbols: int) -> DataFrame:
         mask = alignment.listing_mask(self.bars, self.days)
         panel = alignment.panel(self.bars, self.days, "close")
-        return market.market_features(panel, features.slope_accel(self.bars), mask, CORR_WINDOW, MA_WINDOW, MIN_SYMBOLS)
+        return market.market_features(panel, features.slope_accel(self.bars), mask, corr_window, ma_window, min_symbols)
 
-    @cached_property
+    @_shared
+    def market(self) -> DataFrame:
+        return self.market_with(CORR_WINDOW, MA_WINDOW, MIN_SYMBOLS)
+
+    @_shared
     def label_days(self) -> DataFrame:
         return labels.label_days(self.bars)
 
-    @cached_property
+    @_shared
     def crashes(self) -> DataFrame:
         return labels.onsets(self.label_days, "is_crash", LabelConfig().min_gap)
 
@@ -94,6 +131,17 @@ class Context:
     def banded(self) -> DataFrame:
         return self.scored.withColumn("band", band(F.col("intensity")))
 
+    @cached_property
+    def sleeve_capital(self) -> float:
+        return CAPITAL / self.bars.select("symbol").distinct().count()
+
+    @_shared
+    def fold(self) -> DataFrame:
+        """Every session of every sleeve of the backtest."""
+        days = self.bars.join(self.signals.select("symbol", "dt", "in_position"), ["symbol", "dt"], "left")
+        days = days.join(self.features.select("symbol", "dt", "vol_ratio"), ["symbol", "dt"], "left")
+        return backtest.sleeves(days.withColumn("in_position", F.coalesce("in_position", F.lit(True))), self.sleeve_capital)
+
 
 def tidy(df: DataFrame) -> DataFrame:
     """Doubles to six places, integers to long: what both engines agree on."""

@@ -7,12 +7,12 @@ import re
 CTE: dict[str, str] = {}
 
 CTE["bars"] = """
-SELECT symbol, dt, open, CASE WHEN fl THEN close ELSE round(greatest(open, close) * (1e0 + ((n + tc) % 5) * 1e-3), 4) END AS high,
-  CASE WHEN fl THEN close ELSE round(least(open, close) * (1e0 - (tc % 5) * 1e-3), 4) END AS low, close,
+SELECT symbol, dt, o / 1e4 AS open, CASE WHEN fl THEN c ELSE (greatest(o, c) * (1000 + (n + tc) % 5) + 500) // 1000 END / 1e4 AS high,
+  CASE WHEN fl THEN c ELSE (least(o, c) * (1000 - tc % 5) + 500) // 1000 END / 1e4 AS low, c / 1e4 AS close,
   CASE WHEN (dc * 7 + tc) % 31 = 0 THEN 0 ELSE qty END AS volume
-FROM (SELECT *, CASE WHEN fl THEN close ELSE round(coalesce(prev, close) * (1e0 + (tc - 4 * n) * 2e-3), 4) END AS open
-  FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY dt) AS prev, (dc + tc) % 29 = 0 AS fl
-    FROM (SELECT *, round(exp(CAST(sum(greatest(-8, least(8, dc - 5 * n))) OVER (PARTITION BY symbol ORDER BY dt) AS DOUBLE) * 8e-3) * 100, 4) AS close
+FROM (SELECT *, CASE WHEN fl THEN c ELSE (coalesce(prev, c) * (500 + greatest(-100, least(100, tc - 4 * n))) + 250) // 500 END AS o
+  FROM (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY dt) AS prev, (dc + tc) % 29 = 0 AS fl
+    FROM (SELECT *, CAST(round(exp(CAST(sum(greatest(-8, least(8, dc - 5 * n))) OVER (PARTITION BY symbol ORDER BY dt) AS DOUBLE) * 8e-3) * 1e6) AS BIGINT) AS c
       FROM (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS dt, count(*)::BIGINT AS n, sum(CAST(round(l_discount * 100) AS BIGINT))::BIGINT AS dc,
           sum(CAST(round(l_tax * 100) AS BIGINT))::BIGINT AS tc, sum(CAST(l_quantity AS BIGINT))::BIGINT AS qty
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2))))"""
@@ -22,7 +22,7 @@ SELECT symbol, dt, CASE WHEN s THEN round(open * 3e0, 4) ELSE open END AS open,
 FROM (SELECT *, symbol = 'Brand#22' AND dt < DATE '1996-06-03' AS s FROM bars)
 WHERE NOT (symbol = 'Brand#11' AND dt BETWEEN DATE '1996-03-01' AND DATE '1996-03-25')"""
 CTE["raw"] = """
-SELECT *, 1 AS seq FROM body UNION ALL SELECT symbol, dt, open, high, low, round(close * 5e-1, 4), volume, 0 FROM body WHERE volume % 17 = 0
+SELECT *, 1 AS seq FROM body UNION ALL SELECT symbol, dt, open, high, low, (CAST(round(close * 10000) AS BIGINT) + 1) // 2 / 1e4, volume, 0 FROM body WHERE volume % 17 = 0
 UNION ALL SELECT symbol, dt, open, high, low, 0e0, volume, 2 FROM body WHERE volume % 41 = 3"""
 CTE["dd1"] = "SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY symbol, dt ORDER BY seq DESC) = 1"
 CTE["valid"] = "SELECT * FROM dd1 WHERE open > 0 AND high > 0 AND low > 0 AND close > 0"
@@ -81,13 +81,13 @@ CTE["sc"] = "SELECT * EXCLUDE (t) FROM (SELECT * FROM scored) WHERE t = 0"
 CTE["banded"] = "SELECT *, CASE WHEN intensity >= 0.99 THEN 'High' WHEN intensity >= 0.95 THEN 'Moderate' WHEN intensity >= 0.9 THEN 'Low' ELSE 'None' END AS band FROM sc"
 CTE["reg0"] = f"SELECT *, ({_roll('sum', 'r', 20)}) / 20 * 100 AS ppd, ({_roll('stddev_samp', 'r', 252, 63)}) * sqrt(252e0) AS hv FROM ret"
 CTE["rega"] = """
-SELECT symbol, dt, ppd, CASE WHEN ppd IS NULL THEN 'Sideways' WHEN ppd <= -0.2 THEN 'Crashing' WHEN ppd <= -0.05 THEN 'Falling' WHEN ppd >= 0.2 THEN 'Rally' WHEN ppd >= 0.05 THEN 'Rising' ELSE 'Sideways' END AS regime, hv FROM reg0"""
+SELECT symbol, dt, ppd, CASE WHEN ppd IS NULL THEN 'Sideways' WHEN ppd >= 0.2 - 1e-9 THEN 'Rally' WHEN ppd >= 0.05 - 1e-9 THEN 'Rising' WHEN ppd <= -0.2 + 1e-9 THEN 'Crashing' WHEN ppd <= -0.05 + 1e-9 THEN 'Falling' ELSE 'Sideways' END AS regime, hv FROM reg0"""
 CTE["frame"] = "SELECT s.*, regime FROM sc s JOIN rega r ON r.symbol = s.symbol AND r.dt = s.dt"
 CTE["inp"] = """
 SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn, coalesce(intensity >= 0.99 AND phase = 'AcceleratingDecline', false) AS sev,
   coalesce(intensity >= 0.95 AND intensity < 0.99, false) AND coalesce(phase, '') <> 'AcceleratingAdvance' AS mld,
-  coalesce(CASE WHEN vol > 0 THEN ret_1d / vol END, 0) < coalesce(slope_z, 0) AND regime IN ('Crashing', 'Falling') AND coalesce(slope_z, 0) < 0 AS conf,
-  coalesce(slope_z, 0) AS sl, coalesce(phase, '') <> 'AcceleratingDecline' AS ree FROM frame"""
+  coalesce(CASE WHEN vol > 0 THEN ret_1d / vol END, 0) < coalesce(slope_z, 0) - 1e-9 AND regime IN ('Crashing', 'Falling') AND coalesce(slope_z, 0) < -1e-9 AS conf,
+  CASE WHEN abs(slope_z) > 1e-9 THEN slope_z ELSE 0 END AS sl, coalesce(phase, '') <> 'AcceleratingDecline' AS ree FROM frame"""
 # h0, w0: state before the bar; h, s, w: after it
 _STEP = """
 CASE WHEN NOT {h} THEN CASE WHEN {s} + 1 > 3 AND (ree OR {s} + 1 >= 20) THEN 'ENTER' ELSE '' END WHEN sev AND {s} + 1 > 3 THEN 'EXIT'
@@ -101,11 +101,19 @@ CTE["sigrec"] = (
     + " AS action FROM sigrec p JOIN inp i ON i.symbol = p.symbol AND i.rn = p.rn + 1)"
 )
 CTE["sig"] = "SELECT symbol, dt, sev AS exit_signal, w0 > 0 AS watching, ree AS reentry_ok, h0 AS in_position, action FROM sigrec"
+_REENTRY = {
+    "rally_signal": "coalesce(intensity >= 0.95 AND phase = 'AcceleratingAdvance', false)", "decel": "coalesce(phase = 'DeceleratingDecline', false)",
+    "time": "true", "not_declining": "coalesce(phase, '') <> 'AcceleratingDecline'",
+}
+for _rule, _mask in _REENTRY.items():
+    CTE[f"in{_rule}"] = CTE["inp"].replace(_REENTRY["not_declining"] + " AS ree", _mask + " AS ree").replace("FROM frame", "FROM (SELECT * FROM frame QUALIFY count(*) OVER (PARTITION BY symbol) >= 250) f250")
+    CTE[f"rec{_rule}"] = re.sub(r"\binp\b", f"in{_rule}", re.sub(r"\bsigrec\b", f"rec{_rule}", CTE["sigrec"]))
 CTE["lab"] = """
 SELECT symbol, dt, rn - 1 AS pos, fwd_dd, fwd_up, coalesce(fwd_dd <= -0.1, false) AS is_crash, coalesce(fwd_up >= 0.1, false) AS is_rally
 FROM (SELECT *, min(close) OVER f / close - 1 AS fwd_dd, max(close) OVER f / close - 1 AS fwd_up FROM ret WINDOW f AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))"""
-for _k in ("crash", "rally"):
-    CTE[f"{_k}f"] = f"SELECT symbol, dt, pos FROM lab WHERE is_{_k}"
+CTE["labindex"] = "SELECT symbol, dt, pos, symbol = 'Brand#1' AND coalesce(fwd_dd <= -0.05, false) AS is_index FROM lab"
+for _k in ("crash", "rally", "index"):
+    CTE[f"{_k}f"] = f"SELECT symbol, dt, pos FROM {'labindex' if _k == 'index' else 'lab'} WHERE is_{_k}"
     CTE[f"{_k}on"] = (
         f"SELECT symbol, min(pos) AS pos FROM {_k}f GROUP BY symbol UNION ALL "
         f"SELECT o.symbol, (SELECT min(f.pos) FROM {_k}f f WHERE f.symbol = o.symbol AND f.pos >= o.pos + 10) AS pos FROM {_k}on o WHERE o.pos IS NOT NULL"
@@ -119,17 +127,26 @@ CTE["falses"] = """
 SELECT a.symbol, a.dt FROM alerts a JOIN cal c ON c.dt = a.dt WHERE NOT EXISTS
   (SELECT 1 FROM crasho o JOIN cal d ON d.dt = o.dt WHERE o.symbol = a.symbol AND d.pos BETWEEN c.pos AND c.pos + 15)"""
 CTE["pr"] = "SELECT *, CASE WHEN close > 0 THEN ln(close) END - lag(CASE WHEN close > 0 THEN ln(close) END) OVER (PARTITION BY symbol ORDER BY dt) AS r FROM panel"
-CTE["corr"] = f"""
-SELECT s.dt, CASE WHEN n >= 5 AND abs(s1 * s1 - s2) > 1e-12 AND var_p IS NOT NULL THEN greatest(-1e0, least(1e0, (n * n * var_p - s2) / (s1 * s1 - s2))) END AS avg_corr
-FROM (SELECT dt, coalesce(sum(s), 0) AS s1, coalesce(sum(s * s), 0) AS s2, count(s) AS n FROM (SELECT dt, {_roll('stddev_samp', 'r', 5)} AS s FROM pr) GROUP BY dt) s
-JOIN (SELECT dt, CASE WHEN count(p) OVER w >= 5 THEN var_samp(p) OVER w END AS var_p FROM (SELECT dt, avg(r) AS p FROM pr GROUP BY dt)
-  WINDOW w AS (ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) p ON p.dt = s.dt"""
-CTE["mk"] = f"""
-SELECT dt, n_live, CASE WHEN n_live >= 5 THEN bd END AS breadth_decline, CASE WHEN n_live >= 5 THEN ba END AS breadth_advance, CASE WHEN n_live >= 5 THEN ms END AS median_slope_z,
-  CASE WHEN n_live >= 5 THEN di END AS dispersion, CASE WHEN n_live >= 5 THEN avg_corr END AS avg_corr, CASE WHEN n_live >= 5 THEN pb END AS pct_below_ma50
+
+
+def _market(name: str, corr: int, ma: int, least: int) -> None:
+    """The correlation and market tables, for windows of ``corr`` and ``ma`` rows and at least ``least`` symbols."""
+    CTE[f"corr{name}"] = f"""
+SELECT s.dt, CASE WHEN n >= {least} AND abs(s1 * s1 - s2) > 1e-12 AND var_p IS NOT NULL THEN greatest(-1e0, least(1e0, (n * n * var_p - s2) / (s1 * s1 - s2))) END AS avg_corr
+FROM (SELECT dt, coalesce(sum(s), 0) AS s1, coalesce(sum(s * s), 0) AS s2, count(s) AS n FROM (SELECT dt, {_roll('stddev_samp', 'r', corr)} AS s FROM pr) GROUP BY dt) s
+JOIN (SELECT dt, CASE WHEN count(p) OVER w >= {corr} THEN var_samp(p) OVER w END AS var_p FROM (SELECT dt, avg(r) AS p FROM pr GROUP BY dt)
+  WINDOW w AS (ORDER BY dt ROWS BETWEEN {corr - 1} PRECEDING AND CURRENT ROW)) p ON p.dt = s.dt"""
+    columns = {"breadth_decline": "bd", "breadth_advance": "ba", "median_slope_z": "ms", "dispersion": "di", "avg_corr": "avg_corr", "pct_below_ma50": "pb"}
+    floor = ", ".join(f"CASE WHEN n_live >= {least} THEN {v} END AS {k}" for k, v in columns.items())
+    CTE[f"mk{name}"] = f"""
+SELECT dt, n_live, {floor}
 FROM (SELECT p.dt, count(phase) AS n_live, 1e2 * count(*) FILTER (phase = 'AcceleratingDecline') / nullif(count(phase), 0) AS bd, 1e2 * count(*) FILTER (phase = 'AcceleratingAdvance') / nullif(count(phase), 0) AS ba,
     quantile_cont(slope_z, 0.5) AS ms, 1e2 * stddev_samp(p.r) AS di, 1e2 * count(*) FILTER (close < ma) / nullif(count(*) FILTER (close IS NOT NULL AND ma IS NOT NULL), 0) AS pb
-  FROM (SELECT *, {_roll('avg', 'close', 5)} AS ma FROM pr) p LEFT JOIN (SELECT symbol, dt, phase, slope_z FROM sa) f ON f.symbol = p.symbol AND f.dt = p.dt GROUP BY p.dt) JOIN corr USING (dt)"""
+  FROM (SELECT *, {_roll('avg', 'close', ma)} AS ma FROM pr) p LEFT JOIN (SELECT symbol, dt, phase, slope_z FROM sa) f ON f.symbol = p.symbol AND f.dt = p.dt GROUP BY p.dt) JOIN corr{name} USING (dt)"""
+
+
+_market("", 5, 5, 5)
+_market("full", 60, 50, 20)
 CTE["sret"] = "SELECT symbol, dt, close / pc - 1 AS ret FROM ret"
 CTE["hret"] = "SELECT r.*, coalesce(in_position, true) AS held, coalesce(action, '') AS action FROM sret r LEFT JOIN sig s ON s.symbol = r.symbol AND s.dt = r.dt"
 CTE["eqw"] = """
@@ -159,6 +176,7 @@ SELECT fy, st AS stcg_gain, lt AS ltcg_gain, greatest(st, 0) * CASE WHEN a >= DA
   + greatest(lt - CASE WHEN a >= DATE '2024-07-23' THEN 125000 ELSE 100000 END, 0) * CASE WHEN a >= DATE '2024-07-23' THEN 0.125e0 ELSE 0.1e0 END AS tax
 FROM (SELECT CASE WHEN month(sold_on) >= 4 THEN year(sold_on) ELSE year(sold_on) - 1 END AS fy, max(sold_on) AS a, sum(CASE WHEN holding_days < 365 THEN gain ELSE 0e0 END) AS st,
   sum(CASE WHEN holding_days >= 365 THEN gain ELSE 0e0 END) AS lt FROM real GROUP BY 1)"""
+CTE["taxall"] = CTE["tax"].replace("FROM real", "FROM (SELECT sold_on, gain, holding_days FROM real UNION ALL SELECT sold_on, gain, holding_days FROM lots) sales")
 CTE["lots"] = """
 SELECT r.symbol, z AS sold_on, r.held AS qty, (close - paid) * r.held AS gain, datediff('day', since, z) AS holding_days
 FROM (SELECT * FROM btrec QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1) r, (SELECT max(dt) AS z FROM bars)
@@ -176,7 +194,7 @@ SELECT symbol, min(sd) AS sdd, min(bd) AS bdd, count(*) FILTER (sd < -1e-9) AS u
   count(*) FILTER (action IN ('EXIT', 'EXIT_WATCH')) AS exits, 1e2 * (1 - avg(CASE WHEN held THEN 1e0 ELSE 0e0 END)) AS pc
 FROM (SELECT *, s / max(s) OVER w - 1 AS sd, b / max(b) OVER w - 1 AS bd FROM bysym WINDOW w AS (PARTITION BY symbol ORDER BY dt)) GROUP BY symbol"""
 
-_RECURSIVE = ("sigrec", "crashon", "rallyon", "btrec")
+_RECURSIVE = ("sigrec", "crashon", "rallyon", "indexon", "btrec", *(f"rec{r}" for r in _REENTRY))
 
 
 def with_ctes(sql: str) -> str:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.config import FEATURE_COLUMNS, GateConfig, ModelConfig, RetrainConfig, SignalConfig
-from seismark.functions.scalars import is_sell, leg_cost, signal_strength, slippage
+from seismark.config import FEATURE_COLUMNS, GateConfig, RetrainConfig, SignalConfig, WindowConfig
+from seismark.functions.scalars import leg_cost, signal_strength, slippage
 from seismark.operators import alignment, backtest, cleaning, drawdown, features, forest, intensity, labels, market, quality_gate, regime, report, retrain, signals
 from seismark.plans.context import CAPITAL, CLEANING, TRAIN_END, Context, tidy
 from seismark.plans.oracle import with_ctes
@@ -56,9 +56,15 @@ _add("close_panel", lambda c: alignment.panel(c.bars, c.days, "close").select("s
 _add("position_panel", lambda c: alignment.positions(c.signals, c.bars, c.days), "SELECT g.symbol, g.dt, coalesce(in_position, true) AS in_position FROM grid g LEFT JOIN sig s ON s.symbol = g.symbol AND s.dt = g.dt")
 _add("listing_mask", lambda c: alignment.listing_mask(c.bars, c.days), f"SELECT {K}, is_listed FROM mask")
 _add("stale_price_valuation", lambda c: alignment.last_known(c.bars, c.days), f"SELECT {K}, {_r('close', last_close='last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING)')} FROM panel")
-_P = ("Brand#1", "Brand#2", "Brand#3")
-_add("panel_pivot", lambda c: alignment.pivot(c.bars.filter(F.col("symbol").isin(*_P)), "close", list(_P)).select("dt", *[F.col(f"`{p}`").alias(f"b{i}") for i, p in enumerate(_P)]),
-     "SELECT dt, " + ", ".join(R.format(f"max(CASE WHEN symbol = '{p}' THEN close END)", f"b{i}") for i, p in enumerate(_P)) + f" FROM bars WHERE symbol IN {_P} GROUP BY dt")
+_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+
+
+def _wide(c: Context) -> DataFrame:
+    symbols = sorted((r.symbol for r in c.bars.select("symbol").distinct().collect()), key=lambda x: int(x.split("#")[1]))  # the columns
+    return alignment.pivot(c.bars, "close", symbols).select("dt", *[F.col(f"`{x}`").alias(x.replace("Brand#", "b")) for x in symbols])
+
+
+_add("panel_pivot", _wide, "SELECT dt, " + ", ".join(R.format(f"max(CASE WHEN symbol = '{x}' THEN close END)", x.replace("Brand#", "b")) for x in _BRANDS) + " FROM bars GROUP BY dt")
 _GATE = GateConfig(min_symbols=20, min_sessions=100, train_start="1996-12-31")
 _FAIL = lambda cond: f"coalesce((SELECT sum(CASE WHEN {cond} THEN 1 ELSE 0 END) FROM gd), 0)"
 _add("quality_gate", lambda c: quality_gate.checks(cleaning.clean(c.raw), cleaning.audit(c.raw, CLEANING), _GATE), f"""
@@ -94,27 +100,36 @@ _MK = ("breadth_decline", "breadth_advance", "median_slope_z", "dispersion", "av
 _add("market_features", lambda c: c.market, f"SELECT dt, {_b('n_live')}, {_r(*_MK)} FROM mk")
 _panel = lambda c: alignment.panel(c.bars, c.days, "close")
 _add("avg_corr", lambda c: market.average_correlation(_panel(c), 5, 5), f"SELECT dt, {_r('avg_corr')} FROM corr")
-_add("avg_corr_exact", lambda c: market.exact_correlation(_panel(c).filter(F.col("symbol").isin("Brand#1", "Brand#2", "Brand#3", "Brand#4")), 10), f"""
+_add("avg_corr_exact", lambda c: market.exact_correlation(_panel(c), 10), f"""
 SELECT dt, {_r(avg_corr='avg(c)')} FROM (SELECT a.dt, CASE WHEN count(a.r) OVER w >= 10 AND count(b.r) OVER w >= 10 THEN covar_samp(a.r, b.r) OVER w / nullif(stddev_samp(a.r) OVER w * stddev_samp(b.r) OVER w, 0) END AS c
-FROM pr a JOIN pr b ON a.dt = b.dt AND a.symbol < b.symbol WHERE a.symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') AND b.symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')
-WINDOW w AS (PARTITION BY a.symbol, b.symbol ORDER BY a.dt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) GROUP BY dt""")
+FROM pr a JOIN pr b ON a.dt = b.dt AND a.symbol < b.symbol WINDOW w AS (PARTITION BY a.symbol, b.symbol ORDER BY a.dt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) GROUP BY dt""")
+_add("market_features_full", lambda c: c.market_with(60, 50, 20), f"SELECT dt, {_b('n_live')}, {_r(*_MK)} FROM mkfull")
+_add("avg_corr_full", lambda c: market.average_correlation(_panel(c)), f"SELECT dt, {_r('avg_corr')} FROM corrfull")
 _MS = ("breadth_decline", "median_slope_z", "dispersion")
 _add("market_summary", lambda c: market.market_summary(c.market, list(_MS)), " UNION ALL ".join(f"SELECT '{m}' AS metric, {_r(p1=f'quantile_cont({m}, 0.01)', median=f'quantile_cont({m}, 0.5)', p99=f'quantile_cont({m}, 0.99)')} FROM mk" for m in _MS))
 _add("purge_crisis_dates", lambda c: market.purge_crisis_dates(c.market), "SELECT dt FROM mk WHERE dispersion > (SELECT quantile_cont(dispersion, 0.9) FROM mk)")
 _FLAG = "coalesce(breadth_decline >= 30 AND median_slope_z <= -0.2, false)"
 _add("market_signal", lambda c: market.market_signal(c.market, 30.0, -0.2), f"SELECT dt, {_FLAG} AS market_flag FROM mk")
+_add("market_signal_full", lambda c: market.market_signal(c.market), "SELECT dt, coalesce(breadth_decline >= 75 AND median_slope_z <= -1.5, false) AS market_flag FROM mk")
 _add("market_episodes", lambda c: market.episodes(market.market_signal(c.market, 30.0, -0.2)), f"""
 SELECT {_b('episode')}, min(dt) AS start_dt, max(dt) AS end_dt, count(*) AS sessions FROM (SELECT dt, f, sum(CASE WHEN f AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (ORDER BY dt) AS episode
 FROM (SELECT dt, f, lag(f) OVER (ORDER BY dt) AS p FROM (SELECT dt, {_FLAG} AS f FROM mk))) WHERE f GROUP BY episode""")
 _add("realized_hv", lambda c: _with(c).select("symbol", "dt", regime.realized_hv().alias("hv")), f"SELECT {K}, {_r('hv')} FROM rega")
 _add("regime_absolute", lambda c: regime.detect(c.bars, "absolute", lookback=2, vol_warmup=1).select("symbol", "dt", "pct_per_day", "regime"), f"SELECT {K}, {_r(pct_per_day='ppd')}, regime FROM rega")
-_rq = lambda x, q, n, k: f"CASE WHEN count({x}) OVER w >= {k} THEN quantile_cont({x}, {q}) OVER w END"
-_add("regime_labels", lambda c: regime.detect(c.bars, lookback=120, warmup=60).select("symbol", "dt", "regime"), f"""
-SELECT {K}, CASE WHEN ppd IS NULL OR a IS NULL THEN 'Sideways' WHEN ppd < d AND ppd >= c THEN 'Rising' WHEN ppd >= d THEN 'Rally' WHEN ppd > a AND ppd <= b THEN 'Falling' WHEN ppd <= a THEN 'Crashing' ELSE 'Sideways' END AS regime
-FROM (SELECT *, {_rq('ppd', 0.05, 120, 60)} AS a, {_rq('ppd', 0.25, 120, 60)} AS b, {_rq('ppd', 0.75, 120, 60)} AS c, {_rq('ppd', 0.95, 120, 60)} AS d FROM reg0 WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 119 PRECEDING AND CURRENT ROW))""")
+_rq = lambda x, q, k: f"CASE WHEN count({x}) OVER w >= {k} THEN quantile_cont({x}, {q}) OVER w END"
+
+
+def _regime_sql(n: int, k: int) -> str:
+    return f"""
+SELECT {K}, CASE WHEN ppd IS NULL OR a IS NULL THEN 'Sideways' WHEN ppd >= d - 1e-9 THEN 'Rally' WHEN ppd >= c - 1e-9 THEN 'Rising' WHEN ppd <= a + 1e-9 THEN 'Crashing' WHEN ppd <= b + 1e-9 THEN 'Falling' ELSE 'Sideways' END AS regime
+FROM (SELECT *, {_rq('ppd', 0.05, k)} AS a, {_rq('ppd', 0.25, k)} AS b, {_rq('ppd', 0.75, k)} AS c, {_rq('ppd', 0.95, k)} AS d FROM reg0 WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))"""
+
+
+_add("regime_labels", lambda c: regime.detect(c.bars, lookback=120, warmup=60).select("symbol", "dt", "regime"), _regime_sql(120, 60))
+_add("regime_labels_full", lambda c: regime.detect(c.bars).select("symbol", "dt", "regime"), _regime_sql(750, 250))
 _add("vol_regime", lambda c: regime.detect(c.bars, "absolute", lookback=120).select("symbol", "dt", "vol_regime"), f"""
-SELECT {K}, CASE WHEN hv IS NULL OR a IS NULL THEN 'MedVol' WHEN hv <= a THEN 'LowVol' WHEN hv >= b THEN 'HighVol' ELSE 'MedVol' END AS vol_regime
-FROM (SELECT *, {_rq('hv', 0.33, 120, 60)} AS a, {_rq('hv', 0.66, 120, 60)} AS b FROM reg0 WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 119 PRECEDING AND CURRENT ROW))""")
+SELECT {K}, CASE WHEN hv IS NULL OR a IS NULL THEN 'MedVol' WHEN hv <= a + 1e-9 THEN 'LowVol' WHEN hv >= b - 1e-9 THEN 'HighVol' ELSE 'MedVol' END AS vol_regime
+FROM (SELECT *, {_rq('hv', 0.33, 60)} AS a, {_rq('hv', 0.66, 60)} AS b FROM reg0 WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 119 PRECEDING AND CURRENT ROW))""")
 
 # intensity
 _add("ecdf_intensity", lambda c: c.scored.select("symbol", "dt", "score", "intensity"), f"SELECT {K}, {_r('score', 'intensity')} FROM sc")
@@ -123,6 +138,9 @@ SELECT {K}, {_r('score')}, {_r(intensity='''CASE WHEN score IS NULL THEN NULL WH
   THEN (SELECT count(*) FROM train t WHERE t.symbol = s.symbol AND t.score <= s.score)::DOUBLE / (SELECT count(*) FROM train t WHERE t.symbol = s.symbol) ELSE intensity END''')} FROM sc s""")
 _add("intensity_band", lambda c: c.banded.select("symbol", "dt", "band"), f"SELECT {K}, band FROM banded")
 _add("band_counts", lambda c: intensity.band_counts(c.scored), f"SELECT band, {_b(n='count(*)', symbols='count(DISTINCT symbol)')} FROM banded GROUP BY band")
+_add("alert_rates", lambda c: intensity.alert_rates(c.scored.filter("dt >= '1999-01-01'")), f"""
+SELECT {_b(high_alerts='h', declining='d')}, {_r(per_symbol_year='h / (s * y)', declining_share='d / greatest(h, 1)')} FROM (SELECT count(*) FILTER (band = 'High') AS h, count(*) FILTER (band = 'High' AND phase = 'AcceleratingDecline') AS d,
+count(DISTINCT symbol) AS s, datediff('day', min(dt), max(dt)) / 365.25 AS y FROM banded WHERE dt >= DATE '1999-01-01')""")
 _add("signal_strength", lambda c: c.scored.select("symbol", "dt", signal_strength(F.col("intensity"), F.col("slope_z")).alias("strength")), f"SELECT {K}, {_r(strength='coalesce(intensity, 0) * coalesce(abs(slope_z), 0)')} FROM sc")
 
 # labels
@@ -131,6 +149,7 @@ _add("forward_runup", lambda c: c.label_days.select("symbol", "dt", "fwd_up"), f
 _add("crash_onsets", lambda c: c.crashes, f"SELECT {K} FROM crasho")
 _add("rally_onsets", lambda c: labels.onsets(c.label_days, "is_rally"), f"SELECT {K} FROM rallyo")
 _add("label_events", lambda c: labels.label_events(c.bars), f"SELECT {K}, 'crash' AS kind FROM crasho UNION ALL SELECT {K}, 'rally' FROM rallyo")
+_add("label_events_index", lambda c: labels.label_events(c.bars, index_symbol="Brand#1").filter("kind = 'crash' AND symbol = 'Brand#1'"), f"SELECT {K}, 'crash' AS kind FROM indexo")
 _add("lead_time", lambda c: labels.leads(c.alerts, c.crashes, c.days), f"SELECT {K}, {_b('lead')} FROM leads")
 _add("lead_report", lambda c: labels.lead_report(c.alerts, c.crashes, c.days), f"SELECT {_b(n_events='count(*)', n_caught='count(lead)', n_signals='(SELECT count(*) FROM alerts)', false_alarms='(SELECT count(*) FROM falses)')}, {_r(median_lead='quantile_cont(lead, 0.5)')} FROM leads")
 _add("false_alarms", lambda c: labels.false_alarms(c.alerts, c.crashes, c.days), f"SELECT {K} FROM falses")
@@ -166,7 +185,13 @@ _add("watch_confirms", lambda c: c.frame.select("symbol", "dt", signals.watch_co
 _add("generate_signals", lambda c: c.signals, f"SELECT {K}, exit_signal, watching, reentry_ok, in_position, action FROM sig")
 _add("equal_weight_equity", lambda c: signals.equal_weight(c.held_returns), f"SELECT dt, {_r('equity')} FROM eqw")
 _add("performance", lambda c: signals.performance(signals.equal_weight(c.held_returns), 5.0), f"SELECT {_r(cagr='pow(max_by(equity, dt), 0.2e0) - 1', max_drawdown='min(dd)')} FROM ddc")
-_add("reentry_comparison", lambda c: signals.compare_reentry(c.frame, c.returns, 5.0))
+_add("reentry_comparison", lambda c: signals.compare_reentry(c.frame, c.returns, 5.0), " UNION ALL ".join(f"""
+SELECT '{r}' AS rule, {_r('trades_per_sym_yr', 'cash_share', 'cagr', 'max_drawdown', 'bh_cagr', 'bh_max_drawdown')} FROM (
+WITH h AS (SELECT r.symbol, r.dt, ret, coalesce(s.h0, true) AS held, coalesce(s.action, '') AS action FROM sret r JOIN (SELECT DISTINCT symbol FROM in{r}) m ON m.symbol = r.symbol LEFT JOIN rec{r} s ON s.symbol = r.symbol AND s.dt = r.dt),
+e AS (SELECT dt, exp(sum(ln(1 + a)) OVER (ORDER BY dt)) AS a, exp(sum(ln(1 + b)) OVER (ORDER BY dt)) AS b FROM (SELECT dt, coalesce(avg(CASE WHEN held THEN ret WHEN ret IS NOT NULL THEN 0 END), 0) AS a, coalesce(avg(ret), 0) AS b FROM h GROUP BY dt)),
+w AS (SELECT *, a / max(a) OVER (ORDER BY dt) - 1 AS da, b / max(b) OVER (ORDER BY dt) - 1 AS db FROM e)
+SELECT (SELECT count(*) FILTER (action IN ('EXIT', 'EXIT_WATCH')) / (SELECT count(DISTINCT symbol) FROM bars)::DOUBLE / 5e0 FROM h) AS trades_per_sym_yr, (SELECT 1 - avg(CASE WHEN held THEN 1e0 ELSE 0e0 END) FROM h) AS cash_share,
+pow(max_by(a, dt), 0.2e0) - 1 AS cagr, min(da) AS max_drawdown, pow(max_by(b, dt), 0.2e0) - 1 AS bh_cagr, min(db) AS bh_max_drawdown FROM w)""" for r in signals.RULES))
 _add("contribution", lambda c: signals.contribution(c.returns, c.signals), f"""
 SELECT symbol, {_r('edge_pp', share='abs(edge_pp) / nullif(sum(abs(edge_pp)) OVER (), 0)')}, {_b('exits')} FROM (SELECT symbol, 1e2 * (exp(sum(ln(1 + CASE WHEN held THEN coalesce(ret, 0) ELSE 0 END))) - exp(sum(ln(1 + coalesce(ret, 0))))) AS edge_pp,
 count(*) FILTER (action IN ('EXIT', 'EXIT_WATCH')) AS exits FROM hret GROUP BY symbol)""")
@@ -183,37 +208,31 @@ close * 1e2 * CASE WHEN dt + INTERVAL 312 MONTH >= DATE '2024-10-01' THEN 2.97e-
 CASE WHEN day(dt) % 2 = 1 THEN 1.534e1 ELSE 0e0 END AS dp_charge FROM bars b))""")
 
 
-def _fold(c: Context) -> tuple[DataFrame, float]:
-    n = c.bars.select("symbol").distinct().count()
-    days = c.bars.join(c.signals.select("symbol", "dt", "in_position"), ["symbol", "dt"], "left").join(c.features.select("symbol", "dt", "vol_ratio"), ["symbol", "dt"], "left")
-    return backtest.sleeves(days.withColumn("in_position", F.coalesce("in_position", F.lit(True))), CAPITAL / n), CAPITAL / n
-
-
-def _equity(c: Context) -> DataFrame:
-    fold, each = _fold(c)
-    return backtest.equity(fold, alignment.last_known(c.bars, c.days), each)
-
-
-_add("backtest_trades", lambda c: backtest.trades(_fold(c)[0]), f"SELECT {K}, side, {_b('qty')}, {_r('price', 'total_cost')} FROM btrec WHERE side IS NOT NULL")
-_add("backtest_equity", _equity, f"SELECT dt, {_r('equity')} FROM beq")
-_add("realised_gains", lambda c: backtest.realised(_fold(c)[0]), f"SELECT symbol, sold_on, {_b('qty', 'holding_days')}, {_r('gain')} FROM real")
-_add("terminal_liquidation", lambda c: backtest.open_lots(_fold(c)[0], c.bars), f"SELECT symbol, sold_on, {_b('qty', 'holding_days')}, {_r('gain')} FROM lots")
-_add("capital_gains", lambda c: backtest.capital_gains(backtest.realised(_fold(c)[0])), f"SELECT {_b('fy')}, {_r('stcg_gain', 'ltcg_gain', 'tax')} FROM tax")
-_add("equity_after_tax", lambda c: backtest.after_tax(_equity(c), backtest.capital_gains(backtest.realised(_fold(c)[0]))).select("dt", F.round("equity", 3).alias("equity")),
+_equity = lambda c: backtest.equity(c.fold, alignment.last_known(c.bars, c.days), c.sleeve_capital)
+_add("backtest_trades", lambda c: backtest.trades(c.fold), f"SELECT {K}, side, {_b('qty')}, {_r('price', 'total_cost')} FROM btrec WHERE side IS NOT NULL")
+_add("backtest_equity", lambda c: _equity(c).select("dt", F.round("equity", 3).alias("equity")), f"SELECT dt, {_r(equity='round(equity, 3)')} FROM beq")
+_add("realised_gains", lambda c: backtest.realised(c.fold), f"SELECT symbol, sold_on, {_b('qty', 'holding_days')}, {_r('gain')} FROM real")
+_add("terminal_liquidation", lambda c: backtest.open_lots(c.fold, c.bars), f"SELECT symbol, sold_on, {_b('qty', 'holding_days')}, {_r('gain')} FROM lots")
+_add("capital_gains", lambda c: backtest.capital_gains(backtest.realised(c.fold)), f"SELECT {_b('fy')}, {_r('stcg_gain', 'ltcg_gain', 'tax')} FROM tax")
+_add("equity_after_tax", lambda c: backtest.after_tax(_equity(c), backtest.capital_gains(backtest.realised(c.fold))).select("dt", F.round("equity", 3).alias("equity")),
      f"SELECT dt, {_r(equity='round(equity - coalesce((SELECT sum(tax) FROM tax WHERE least(make_date(fy + 1, 3, 31), (SELECT max(dt) FROM beq)) <= e.dt), 0), 3)')} FROM beq e")
 
 
 def _backtest_summary(c: Context) -> DataFrame:
-    fold, _ = _fold(c)
-    sales = backtest.realised(fold)
+    sales = backtest.realised(c.fold)
     paid = backtest.capital_gains(sales).agg(F.coalesce(F.sum("tax"), F.lit(0.0)).alias("tax_paid"))
-    all_ = backtest.capital_gains(sales.unionByName(backtest.open_lots(fold, c.bars))).agg(F.coalesce(F.sum("tax"), F.lit(0.0)).alias("tax_liquidated"))
-    use = backtest.trades(fold).agg(F.count(F.lit(1)).alias("trades"), F.sum("total_cost").alias("costs"))
+    all_ = backtest.capital_gains(sales.unionByName(backtest.open_lots(c.fold, c.bars))).agg(F.coalesce(F.sum("tax"), F.lit(0.0)).alias("tax_liquidated"))
+    use = backtest.trades(c.fold).agg(F.count(F.lit(1)).alias("trades"), F.sum("total_cost").alias("costs"))
     perf = signals.performance(_equity(c).withColumn("equity", F.col("equity") / CAPITAL), 5.0)
-    return use.crossJoin(paid).crossJoin(all_).crossJoin(perf).withColumn("deferred_tax", F.col("tax_liquidated") - F.col("tax_paid"))  # single rows
+    cents = lambda *names: [F.round(n, 3).alias(n) for n in names]
+    out = use.crossJoin(paid).crossJoin(all_).crossJoin(perf).withColumn("deferred_tax", F.col("tax_liquidated") - F.col("tax_paid"))  # single rows
+    return out.select("trades", *cents("costs", "tax_paid", "tax_liquidated", "deferred_tax"), "cagr", "max_drawdown")
 
 
-_add("backtest_summary", _backtest_summary)
+_add("backtest_summary", _backtest_summary, f"""
+SELECT {_b('trades')}, {_r(costs='round(costs, 3)', tax_paid='round(p, 3)', tax_liquidated='round(a, 3)', deferred_tax='round(a - p, 3)')}, {_r('cagr', 'max_drawdown')} FROM
+(SELECT count(*) AS trades, sum(total_cost) AS costs FROM btrec WHERE side IS NOT NULL), (SELECT coalesce(sum(tax), 0) AS p FROM tax), (SELECT coalesce(sum(tax), 0) AS a FROM taxall),
+(SELECT pow(max_by(equity, dt) / 1e6, 0.2e0) - 1 AS cagr, min(dd) AS max_drawdown FROM (SELECT dt, equity, equity / max(equity) OVER (ORDER BY dt) - 1 AS dd FROM beq))""")
 _add("refit_dates", lambda c: retrain.refit_dates(c.days, "1999-01-01", "2000-12-31"), "SELECT as_of, block_end FROM refit")
 _AS = "1999-06-01"
 _counts = lambda c, scheme: retrain.training_slice(c.features, _AS, scheme, c.market).agg(F.count(F.lit(1)).alias("n"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt")).withColumn("scheme", F.lit(scheme))
@@ -224,35 +243,78 @@ SELECT 'vol_purged', count(*), min(dt), max(dt) FROM pre WHERE dt < DATE '{_AS}'
 (SELECT quantile_cont(dispersion, 0.9) FROM mk WHERE dt IN (SELECT dt FROM pre WHERE dt < DATE '{_AS}' AND dt >= DATE '1996-06-01')) AND dt >= DATE '1996-06-01')""")
 _add("walk_forward_blocks", lambda c: c.days.join(retrain.refit_dates(c.days, "1999-01-01", "2000-12-31"), (F.col("dt") >= F.col("as_of")) & (F.col("dt") < F.col("block_end"))).select("dt", "as_of"), "SELECT dt, as_of FROM cal JOIN refit ON dt >= as_of AND dt < block_end")
 _add("ewma_sample", lambda c: retrain.training_slice(c.features, _AS, "ewma").select("symbol", "dt"))
-_SMALL = ModelConfig(trees=50, samples=128)
 
 
 def _forest(c: Context) -> DataFrame:
-    train = intensity.train_window(c.features, "1995-01-01", TRAIN_END)
-    fitted = forest.fit(train)
-    return intensity.ecdf(forest.score(c.features, fitted), forest.score(train, fitted)).select("symbol", "dt", "score", "intensity")
+    fitted = forest.fit(intensity.train_window(c.features, "1995-01-01", TRAIN_END))
+    return forest.score(c.features, fitted).select("symbol", "dt", "score", "intensity")
+
+
+_BLOCKS = ("1999-01-01", "2000-12-31")
+
+
+def _walk(c: Context, scheme: str) -> DataFrame:
+    """All refits of the backtest with the model and schedule of production."""
+    if scheme not in c.walks:
+        walked = retrain.walk_forward(c.features, retrain.refit_dates(c.days, *_BLOCKS), scheme, c.market)
+        c.walks[scheme] = walked.persist()
+    return c.walks[scheme]
 
 
-_walk = lambda c, scheme: retrain.walk_forward(c.features, retrain.refit_dates(c.days, "1999-01-01", "1999-03-31"), scheme, c.market, RetrainConfig(min_train_rows=200), _SMALL)
+def _walk_signals(c: Context, scheme: str) -> DataFrame:
+    return signals.generate(c.features.join(_walk(c, scheme).select("symbol", "dt", "intensity"), ["symbol", "dt"]), "not_declining")
+
+
+_period = lambda df: df.filter(F.col("dt").between(*_BLOCKS))
+_YEARS = WindowConfig("1995-01-01", TRAIN_END, *_BLOCKS).backtest_years
 _add("isolation_forest", _forest)
-_add("walk_forward", lambda c: _walk(c, "rolling"))
+_add("walk_forward", lambda c: _each(lambda s: _walk(c, s).select(F.lit(s).alias("scheme"), "symbol", "dt", "as_of", "score", "intensity")))
+
+
+def _each(make: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``make`` gives for every retraining scheme, one below the other."""
+    parts = [make(s) for s in RetrainConfig().schemes]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _schemes(c: Context) -> DataFrame:
-    flat = signals.performance(signals.equal_weight(c.returns.withColumn("in_position", F.lit(True))), 5.0).select(F.col("max_drawdown").alias("bh_max_drawdown"))
-    n, out = c.bars.select("symbol").distinct().count(), None
-    for scheme in ("rolling", "incremental"):
-        scored = c.features.join(_walk(c, scheme).select("symbol", "dt", "intensity"), ["symbol", "dt"])
-        made = signals.generate(scored, "not_declining")
-        held = c.returns.join(made, ["symbol", "dt"], "left")
-        use = made.agg((F.count_if(is_sell(F.col("action"))) / n / 5.0).alias("trades_per_symbol_year"), F.count_distinct(F.when(is_sell(F.col("action")), F.col("symbol"))).alias("traded"))
-        one = use.crossJoin(signals.performance(signals.equal_weight(held), 5.0)).crossJoin(flat).withColumn("scheme", F.lit(scheme))  # single rows
-        out = one if out is None else out.unionByName(one)
-    return retrain.scheme_results(out)
+    returns = _period(c.returns)
+    flat = signals.performance(signals.equal_weight(returns.withColumn("in_position", F.lit(True))), _YEARS).select(F.col("max_drawdown").alias("bh_max_drawdown"))
+    n = c.bars.select("symbol").distinct().count()
+
+    def one(scheme: str) -> DataFrame:
+        made = _walk_signals(c, scheme)
+        held = returns.join(made.select("symbol", "dt", "in_position"), ["symbol", "dt"], "left")
+        use = retrain.coverage(made, n, _YEARS, scheme).select("scheme", F.col("per_symbol_year").alias("trades_per_symbol_year"))
+        days = _walk(c, scheme).agg(F.count_if(F.col("intensity") >= 0.99).alias("high_band_days"))
+        return use.crossJoin(days).crossJoin(signals.performance(signals.equal_weight(held), _YEARS)).crossJoin(flat)  # single rows
+
+    return retrain.scheme_results(_each(one))
+
+
+def _scheme_coverage(c: Context) -> DataFrame:
+    n = c.bars.select("symbol").distinct().count()
+    return _each(lambda s: retrain.coverage(_walk_signals(c, s), n, _YEARS, s))
 
 
 _add("scheme_comparison", _schemes)
-_add("stress_test", lambda c: signals.compare_reentry(c.frame.filter("dt BETWEEN '1999-01-01' AND '1999-12-31'"), c.returns.filter("dt BETWEEN '1999-01-01' AND '1999-12-31'"), 1.0))
+_add("scheme_coverage", _scheme_coverage)
+_add("scheme_by_symbol", lambda c: _each(lambda s: retrain.per_symbol(_walk_signals(c, s), _period(c.bars), s)))
+
+
+def _stress(c: Context) -> DataFrame:
+    """A forest fitted up to the end of 1997, then a quarter, a year and the rest, none of which it has seen."""
+    fitted = forest.fit(intensity.train_window(c.features, "1995-01-01", "1997-12-31"))
+    scored = forest.score(c.features.filter("dt >= '1998-01-01'"), fitted).join(c.frame.select("symbol", "dt", "regime"), ["symbol", "dt"]).persist()
+    windows = {"quarter": ("1998-02-01", "1998-04-30"), "year": ("1998-01-01", "1998-12-31"), "rest": ("1999-01-01", "2001-12-31")}
+    rule = signals.best_rule(signals.compare_reentry(c.frame, c.returns, 5.0))
+    return signals.stress(scored, c.returns, windows, rule)
+
+
+_add("stress_test", _stress)
 
 # drawdown and reports
 _curve = lambda c: signals.equal_weight(c.held_returns)
@@ -280,7 +342,7 @@ round(1e2 * (1 - avg(CASE WHEN in_position THEN 1e0 ELSE 0e0 END)), 4) AS pct_in
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(make: Callable[[Context], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: tidy(make(Context(spark, sf_dir)))
+        return lambda spark, sf_dir: tidy(make(Context.of(spark, sf_dir)))
 
     return {name: bind(make) for name, (make, _) in _Q.items()}
 

@@ -1,11 +1,13 @@
 import datetime as dt
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from seismark.config import CostConfig, LabelConfig, ModelConfig, SignalConfig
 from seismark.operators import alignment, backtest, cleaning, drawdown, features, forest, intensity, labels, quality_gate, retrain, signals
+from seismark.plans import registry
 from seismark.plans.context import Context
 from seismark.sources import bars as source
 
@@ -107,13 +109,18 @@ def test_forest_is_reproducible_and_finds_outliers(spark, tmp_path):
     f = spark.createDataFrame(rows, "symbol string, dt date, " + ", ".join(f"{c} double" for c in FEATURE_COLUMNS))
     one = forest.fit(f, ModelConfig(trees=30, samples=64))
     one.save(str(tmp_path / "m"))
-    again = forest.Forest.load(spark, str(tmp_path / "m"), one.samples)
+    again = forest.Forest.load(spark, str(tmp_path / "m"))
+    assert (again.scale == one.scale).all() and len(one.scale) == 401 and again.samples == one.samples
     a, b = (forest.score(f, m).orderBy("symbol", "dt").collect() for m in (one, again))
     assert a == b
     scores = {r.symbol: r.score for r in a}
     assert scores["C"] is None and scores["B"] > max(r.score for r in a if r.symbol == "A")
     scored = intensity.ecdf(forest.score(f, one), forest.score(f, one)).filter("symbol = 'A'")
     assert scored.agg(F.avg("intensity")).first()[0] == pytest.approx(0.5, abs=0.03)
+    own = {(r.symbol, r.dt): r.intensity for r in a}
+    assert all(own[r.symbol, r.dt] == pytest.approx(r.intensity) for r in scored.collect())
+    without = forest.fit(f, ModelConfig(trees=30, samples=64), exclude_dates=f.filter("symbol = 'B'").select("dt"))
+    assert len(without.scale) == 399
 
 
 def test_unknown_names_raise(spark):
@@ -160,13 +167,102 @@ def test_forest_trees_draw_from_all_rows(spark):
     rows = spark.createDataFrame([("A", DAY + dt.timedelta(i), float(i)) for i in range(3000)], "symbol string, dt date, x double")
 
     def samples(r):
-        by_tree = {}
-        for d in forest.draw(r, 3000, c).collect():
-            by_tree.setdefault(d.tree, []).append((d._hash, d.x))
-        return {t: [x for _, x in sorted(v)[:16]] for t, v in by_tree.items()}
+        numbers, by_tree = forest.numbered(r, ("x",)), {}
+        assert numbers.total == 3000
+        for d in forest.draw(numbers.frame, {"k": numbers.spans()}, [("k", t, 16) for t in range(60)]).collect():
+            by_tree.setdefault(d.tree, []).append(d.x)
+        return {t: sorted(v) for t, v in by_tree.items()}
 
     drawn = samples(rows)
-    assert set(drawn) == set(range(60)) and all(len(set(v)) == 16 for v in drawn.values())
+    assert set(drawn) == set(range(60)) and all(len(set(v)) == len(v) == 16 for v in drawn.values())
     assert len({x for v in drawn.values() for x in v}) > 20 * 16
     assert drawn == samples(rows.repartition(7, "x"))
     assert {r.tree for r in forest.fit(rows, c, ("x",)).nodes.collect()} == set(range(60))
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def plain(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 5) + 0.0
+    return v.date() if isinstance(v, dt.datetime) else v
+
+
+@pytest.mark.parametrize("name", registry.oracle_sql())
+def test_market_against_sql(spark, duck, name):
+    got = registry.queries()[name](spark, SF)
+    found = duck.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == sorted(got.columns)
+    want = Counter(tuple(map(plain, r)) for r in found.fetchall())
+    assert Counter(tuple(map(plain, r)) for r in got.select(*[f"`{n}`" for n in names]).collect()) == want
+
+
+def test_slices_and_walk_forward(spark):
+    from seismark.config import FEATURE_COLUMNS, RetrainConfig
+
+    days = [dt.date(2018, 1, 1) + dt.timedelta(i) for i in range(0, 1200, 3)]
+    rows = [(f"S{s}", d, *[math.sin(i * (k + 1) + s) if k or i % 5 else None for k in range(10)]) for s in range(4) for i, d in enumerate(days)]
+    f = spark.createDataFrame(rows, "symbol string, dt date, " + ", ".join(f"{c} double" for c in FEATURE_COLUMNS))
+    market = spark.createDataFrame([(d, float(i % 100)) for i, d in enumerate(days)], "dt date, dispersion double")
+    c, m = RetrainConfig(rolling_years=1, min_train_rows=50), ModelConfig(trees=5, samples=16)
+    schedule = spark.createDataFrame([(dt.date(2020, 3, 1), dt.date(2020, 4, 1)), (dt.date(2020, 4, 1), dt.date(2020, 5, 1))], "as_of date, block_end date")
+    for scheme in c.schemes:
+        frame, spans = retrain._numbered_slices(f, ["2020-03-01", "2020-04-01"], scheme, market, c, 0)
+        for as_of, got in spans.items():
+            numbers = {int(a) + k for a, n in got for k in range(int(n))}
+            mine = frame.filter(F.col("key") == as_of) if scheme == "ewma" else frame
+            held = {(r.symbol, r.dt) for r in mine.filter(F.col("g").isin(sorted(numbers))).collect()}
+            want = retrain.training_slice(f, as_of, scheme, market, c).dropna()
+            assert held == {(r.symbol, r.dt) for r in want.collect()} and all(d < dt.date.fromisoformat(as_of) for _, d in held)
+        done = retrain.walk_forward(f, schedule, scheme, market, c, m).collect()
+        assert {str(r.as_of) for r in done} == {"2020-03-01", "2020-04-01"} and all(r.as_of <= r.dt for r in done)
+        assert all((r.score is None) == (r.intensity is None) for r in done) and any(r.score for r in done)
+    assert retrain.walk_forward(f, schedule, "rolling", market, RetrainConfig(min_train_rows=10**6), m).count() == 0
+
+
+def test_index_threshold_windows_and_strict_load(spark):
+    from seismark.config import WindowConfig
+
+    b = series(spark, [100.0, 94, 94, 94, 94, 94], "IDX").unionByName(series(spark, [100.0, 94, 94, 94, 94, 94], "A"))
+    crashed = {r.symbol for r in labels.label_events(b, index_symbol="IDX").filter("kind = 'crash'").collect()}
+    assert crashed == {"IDX"} and LabelConfig().crash < LabelConfig().index_crash
+    with pytest.raises(ValueError):
+        WindowConfig(train_end="2021-06-01")
+    assert WindowConfig().backtest_years == pytest.approx(5.43, abs=0.01)
+    raw = b.withColumn("seq", F.lit(0))
+    with pytest.raises(LookupError):
+        cleaning.load_symbol(raw, "NONE")
+    with pytest.raises(ValueError):
+        cleaning.load_symbol(raw, "A")
+    assert cleaning.load_symbol(raw, "A", strict=False).count() == 6
+    assert cleaning.unknown_symbols(raw, [" idx ", "B"]) == ["B"] and cleaning.universe(raw, ["idx"], usable_only=False).count() == 6
+    audit, table = cleaning.audit(raw), quality_gate.checks(cleaning.flagged(b), cleaning.audit(raw))
+    assert audit.count() == 2 and not table.filter("name = 'universe_size'").first().passed
+    failed = {r.name for r in table.filter("severity = 'ERROR' AND NOT passed").collect()}
+    if failed <= set(quality_gate.WHOLE_UNIVERSE):
+        quality_gate.enforce(table, small_universe=True)
+
+
+def test_csv_order_in_splits(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    lines = [f"{d:02d}-01-2020,1,1,1,{p},5,1" for p in range(1, 400) for d in (2, 3)]
+    (tmp_path / "raw" / "ABC.csv").write_text("date,open,high,low,close,volume,adjusted_close\n" + "\n".join(lines) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        raw = source.read_csv(spark, str(tmp_path / "raw"))
+        assert raw.rdd.getNumPartitions() > 3
+        assert {r.close for r in cleaning.dedupe(raw).collect()} == {399.0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
