@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +18,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark drops an action's shuffle files when it ends; what the action made is in the checkpoint by then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session. Unset, a local run or a test gets a temporary folder; a cluster raises."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="seismark-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+    """Cut lineage with a reliable checkpoint in the shared folder; the shuffle files behind it go at once."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a new plan, as the setting is read when a plan is made
+    finally:
+        spark.conf.set(CLEANUP, before)
 
-    ``spark.checkpoint.dir`` is taken from the session; a temporary folder is
-    set only where it is unset (a local run or a test).
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="seismark-"))
-    return df.checkpoint()
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        return name if name.lower() not in taken else free(f"_{name}")
+
+    return [free(n) for n in names]
+
+
+#: Rows of an Arrow batch between Spark and Python, and rows that Python works on at once: texts may be long.
+BATCH_ROWS, PART_ROWS = 1_000, 250
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold few rows, as some texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in short slices, so that what is made of one is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

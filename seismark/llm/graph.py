@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 from seismark.llm.common import cut
 
-CELLS = 64  # keys a group's rows are spread over
-
 
 def with_least(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """Add ``name``: the least ``value`` of the row's ``group``.
+    """Add ``name``: the least ``value`` of the row's ``group``. ``df`` is read twice, so it should be a checkpoint.
 
-    Rows meet their group's minimum by group and cell of the value, so a
-    group of any share of the rows is spread over CELLS keys.
+    The minima are a table of their own, so rows meet them in a plain join of
+    two exchanges, which adaptive execution splits where a group holds a
+    large share of the rows.
     """
-    spread = df.withColumn("_cell", F.pmod(F.xxhash64(value), F.lit(CELLS)).cast("int"))
-    cells = spread.groupBy(group, "_cell").agg(F.min(value).alias(name))
-    least = cells.groupBy(group).agg(F.min(name).alias(name))
-    # merged, as a broadcast of the rows would let the one task that holds a group's cells put out all its rows
-    return spread.join(cells.select(group, "_cell").join(least, group).hint("merge"), [group, "_cell"]).drop("_cell")
+    return df.join(cut(df.groupBy(group).agg(F.min(value).alias(name))), group)
+
+
+def _stars(links: DataFrame) -> bool:
+    """Every node of ``links`` (a, b) is either the centre of its links or has one link."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out")))).alias("e"))
+    each = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.min("e.out").alias("least"))
+    return each.filter("out > 1 OR (out = 1 AND least = 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,16 +32,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each step is checkpointed, so a lost executor costs one step at most.
     """
     links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        mark = links.agg(F.count(F.lit(1)).alias("n"), F.sum((F.xxhash64("a", "b") % 2147483647).cast("long")).alias("h")).first()
-        if mark.n == 0 or mark == seen:
-            break
-        seen = mark
+    while not _stars(links):
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = with_least(both, "u", "v", "m").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        small = with_least(cut(large), "u", "v", "m")
+        large = with_least(both, "u", "v", "m").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        small = with_least(cut(large.distinct()), "u", "v", "m")
         small = small.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("a"), F.col("m").alias("b"))
         links = cut(small.distinct())
-    roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    nodes = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("e"))
+    return cut(nodes.select("e.node", "e.root").distinct())

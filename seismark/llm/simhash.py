@@ -21,23 +21,25 @@ them, so it links by the shingle similarity of ``similar`` instead.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from seismark.llm import similar
-from seismark.llm.common import cut
-from seismark.llm.graph import CELLS, components, with_least
+from seismark.llm.common import cut, free_names, parts
+from seismark.llm.graph import components, with_least
 
 SEED, SHINGLE, BITS = 42, 3, 2
 #: Fingerprints under one key from which variants are cheaper than pairs.
 DENSE = 48
 CHUNK = 1 << 15
+#: Rows of an id and a digest, some 50 bytes each, up to which they are broadcast; past that they are joined by sorting.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -61,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column("text").cast(pa.binary())
             fps = pa.array((fingerprint(t.as_py()) for t in texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
@@ -93,6 +95,8 @@ def links(distinct: DataFrame) -> DataFrame:
     ``distinct``: one row per fingerprint. Edges join every pair of such
     fingerprints directly or through others within two bits.
     """
+    # many keys of each: dealt out anew, as what comes may be in a few partitions
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     ways = F.array(*[F.struct(F.lit(i).alias("way"), F.lit(m).alias("out")) for i, m in _keys()])
     keyed = distinct.select("fp", F.explode(ways).alias("k")).select(
         "fp", "k.way", F.col("fp").bitwiseAND(F.bitwise_not("k.out")).alias("key")
@@ -102,7 +106,9 @@ def links(distinct: DataFrame) -> DataFrame:
     )
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
     twos = shared.filter("n = 2").filter(near("a", "b")).select("a", "b")
-    members = keyed.join(shared.filter("n > 2").select("way", "key", "n"), ["way", "key"])
+    crowded = shared.filter("n > 2").select("way", "key", "n")
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    members = cut(keyed.join(crowded, ["way", "key"]))
     few = members.filter(F.col("n") <= DENSE).select("way", "key", "fp")
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(
@@ -122,58 +128,55 @@ def links(distinct: DataFrame) -> DataFrame:
     return twos.unionByName(pairs).unionByName(stars).distinct()
 
 
-def _linked(prints: DataFrame, first: Column, edges: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """``prints`` (fp and any columns) with head: the least ``first`` in the component of each row's fp.
-
-    ``edges`` makes links a, b of the prints and their distinct fp.
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (the least doc_id reachable).
 
-    Rows meet their component by cell, and components meet their head by
-    cell, so a fingerprint or component of any size is spread over CELLS keys.
+    Rows meet what is known of their fingerprint in plain joins of tables, so
+    adaptive execution can split a fingerprint with a large share of the rows.
     """
-    cell = F.pmod(F.xxhash64(first, F.monotonically_increasing_id()), F.lit(CELLS)).cast("int")
-    prints = cut(prints.select("*", first.alias("first"), cell.alias("cell")))
-    cells = prints.groupBy("fp", "cell").agg(F.min("first").alias("first"))
-    distinct = cut(cells.groupBy("fp").agg(F.min("first").alias("first")))
-    roots = components(edges(prints, distinct.select("fp"))).withColumnRenamed("node", "fp")
-    heads = with_least(distinct.join(roots, "fp"), "root", "first", "head").select("fp", "head")
-    named = distinct.join(heads, "fp", "left").select("fp", F.coalesce("head", "first").alias("head"))
-    return prints.join(cells.select("fp", "cell").join(named, "fp"), ["fp", "cell"]).drop("cell")
-
-
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id reachable)."""
-    return _linked(fingerprints(docs), F.col("doc_id"), lambda _, distinct: links(distinct)).select("doc_id", "fp", F.col("head").alias("component_id"))
+    prints = cut(fingerprints(docs))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    heads = with_least(cut(distinct.join(roots, "fp")), "root", "first", "head").select("fp", "head")
+    named = cut(distinct.join(heads, "fp", "left").select("fp", F.coalesce("head", "first").alias("component_id")))
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One row of each group linked by similar texts: the least doc_id; of rows that repeat it, the least digest of the text.
+    """One row of each class of similar texts: the least doc_id; of rows that repeat it, the least digest of the text.
 
     A null doc_id comes after all others. Rows equal in doc_id and text become one of them.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    first = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "digest")
     parts = ("keys", "sketch", "size")
-    rows = similar.prints(docs, digest).groupBy("doc_id", "digest", "fp").agg(F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in parts])
-
-    def edges(prints: DataFrame, _: DataFrame) -> DataFrame:
+    rows = cut(similar.prints(docs, digest).select(first.alias("first"), "fp", *parts))
+    sets = rows.groupBy("fp").agg(F.min("first").alias("first"), *[F.any_value(c).alias(c) for c in parts])
+    sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))
+    near_id, near_digest = free_names(docs, "_near_id", "_near_digest")
+    same = F.col("doc_id").eqNullSafe(F.col(near_id)) & (digest == F.col(near_digest))
+
+    def picked(firsts: DataFrame) -> DataFrame:
+        """The doc_id and digest of ``firsts``, marked for broadcast up to a size that is checked."""
+        slim = firsts.withColumns({near_id: F.col("first.doc_id"), near_digest: F.col("first.digest")}).drop("first")
+        return F.broadcast(slim) if firsts.count() <= BROADCAST_ROWS else slim
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        one = picked(cut(sets.select("id", "first").join(nodes, "id", "left_semi")))
         # one text of each set is enough to verify it
-        found = cut(prints.groupBy("fp").agg(F.min("first").alias("first"), *[F.any_value(c).alias(c) for c in parts]))
-
-        def texts(nodes: DataFrame) -> DataFrame:
-            one = found.join(nodes, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
-            held = docs.select("doc_id", "text", digest.alias("digest"))
-            return held.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("fp", F.col("text").cast("string").alias("text"))
-
-        return similar.links(found.drop("first"), texts)
-
-    rows = cut(_linked(rows, F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "digest"), edges).select("first", "head", "n"))
-    pick = lambda d: d.select(F.col("first.doc_id").alias("_near_id"), F.col("first.digest").alias("_near_digest"))
-    gone, repeated = pick(rows.filter("first <> head")), pick(rows.filter("first = head AND n > 1"))
-    same = F.col("doc_id").eqNullSafe(F.col("_near_id")) & (digest == F.col("_near_digest"))
-    kept = docs.join(gone, same, "left_anti")
+        return docs.select("doc_id", "text").join(one, same).select("id", F.col("text").cast("string").alias("text")).dropDuplicates(["id"])
+
+    roots = similar.classes(sets.drop("first", "fp"), texts)
+    placed = with_least(cut(sets.select("id", "fp", "first").join(roots.withColumnRenamed("node", "id"), "id")), "root", "first", "head")
+    # the head of every set that is not a class of its own with a single row
+    held = sets.select("fp", "first").join(placed.select("fp", "head"), "fp", "left").select("fp", F.coalesce("head", "first").alias("head"))
+    gone = cut(rows.select("first", "fp").join(cut(held), "fp").filter("first <> head").select("first").distinct())
+    kept = docs.join(picked(gone), same, "left_anti")
+    repeated = cut(rows.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("first").join(gone, "first", "left_anti"))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, same, "left_semi").withColumn("_near_digest", digest).dropDuplicates(["doc_id", "_near_digest"])
-    return kept.join(repeated, same, "left_anti").unionByName(once.drop("_near_digest"))
+    once = kept.join(picked(repeated), same, "left_semi").withColumn(near_digest, digest).dropDuplicates(["doc_id", near_digest])
+    return kept.join(picked(repeated), same, "left_anti").unionByName(once.drop(near_digest))
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
