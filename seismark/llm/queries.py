@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seismark.llm import chat, decontaminate, licenses, lines, packing, quality, sharding, simhash, toxicity, urls
-from seismark.llm.common import table
+from seismark.llm.common import small_batches, table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    def ready(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: [small_batches(spark), make(spark, sf_dir)][1]
+
+    made = {
         "op1_quality_rules": lambda s, d: quality.op1_query(table(s, d, "documents")),
         "op2_chat_format": lambda s, d: chat.op2_query(table(s, d, "conversations")),
         "op3_sharding": lambda s, d: sharding.op3_query(table(s, d, "documents")),
@@ -23,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": lambda s, d: packing.op9_query(table(s, d, "documents")),
         "op10_toxicity": lambda s, d: toxicity.op10_query(table(s, d, "documents"), table(s, d, "labels")),
     }
+    return {name: ready(make) for name, make in made.items()}
 
 
 def oracle_sql() -> dict[str, str]:
