@@ -9,6 +9,7 @@ repeated rows are judged one by one; extra columns pass through untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,10 +45,11 @@ class Rule:
     percent: int
     floor: int = 1
 
-    def broken(self) -> Column:
-        left, right = F.col(self.measure) * 100, F.col(self.of) * self.percent
+    def broken(self, of: Callable[[str], Column] = F.col) -> Column:
+        """``of`` gives a measure by its name."""
+        left, right = of(self.measure) * 100, of(self.of) * self.percent
         past = left > right if self.side == "max" else left < right
-        return (F.col(self.of) >= self.floor) & past
+        return (of(self.of) >= self.floor) & past
 
 
 #: The production threshold table.
@@ -95,12 +97,11 @@ def repeat_words(words: Column, span: int = SPAN) -> Column:
     return let(digests, count)
 
 
-def with_measures(docs: DataFrame, text: str = "text", out: str = "_measures") -> DataFrame:
-    """Add one struct of the measures of ``text``."""
-    safe = F.coalesce(F.col(text), F.lit(""))
-    length = lambda c: F.length(c)
+def measures(text: Column) -> Column:
+    """One struct of the measures of ``text``."""
+    safe = F.coalesce(text, F.lit(""))
     by_words = let(
-        whole_words(F.col(text)),
+        whole_words(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             repeat_words(w).cast("long").alias("n_repeat_words"),
@@ -114,42 +115,52 @@ def with_measures(docs: DataFrame, text: str = "text", out: str = "_measures") -
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         ),
     )
-    gone = lambda chars: length(safe) - length(F.translate(safe, chars, ""))
-    measured = docs.withColumns({"_by_words": by_words, "_by_lines": by_lines})
-    flat = F.struct(
-        F.col("_by_words.n_words").alias("n_words"),
-        length(F.translate(safe, BLANKS, "")).cast("long").alias("word_chars"),
-        gone("#*$%&|<>").cast("long").alias("n_symbols"),
-        F.col("_by_lines.n_dup_lines").alias("n_dup_lines"),
-        F.col("_by_words.n_repeat_words").alias("n_repeat_words"),
-        F.col("_by_words.n_stop_words").alias("n_stop_words"),
-        gone("!").cast("long").alias("n_exclaims"),
-        F.col("_by_lines.n_text_lines").alias("n_text_lines"),
+    gone = lambda chars: F.length(safe) - F.length(F.translate(safe, chars, ""))
+    parts = F.struct(by_words.alias("w"), by_lines.alias("l"))
+    return let(
+        parts,
+        lambda p: F.struct(
+            p["w"]["n_words"].alias("n_words"),
+            F.length(F.translate(safe, BLANKS, "")).cast("long").alias("word_chars"),
+            gone("#*$%&|<>").cast("long").alias("n_symbols"),
+            p["l"]["n_dup_lines"].alias("n_dup_lines"),
+            p["w"]["n_repeat_words"].alias("n_repeat_words"),
+            p["w"]["n_stop_words"].alias("n_stop_words"),
+            gone("!").cast("long").alias("n_exclaims"),
+            p["l"]["n_text_lines"].alias("n_text_lines"),
+        ),
     )
-    return measured.withColumn(out, flat).drop("_by_words", "_by_lines")
+
+
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < MIN_WORDS) | (of("n_repeat_words") * 100 > of("n_words") * MAX_REPEAT_PERCENT)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the measures, base_failed, kept and the names of broken rules."""
-    m = with_measures(docs.select("doc_id", "text")).select("doc_id", *[F.col(f"_measures.{k}").alias(k) for k in MEASURES])
-    base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    names = F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]) if rules else F.array().cast("array<string>")
-    return (
-        m.withColumn("base_failed", base)
-        .withColumn("broken_rules", F.array_compact(names))
-        .withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
-    )
+    """doc_id, the measures, base_failed, the names of broken rules and kept, all from one struct."""
+
+    def verdict(m: Column) -> Column:
+        names = F.array(*[F.when(r.broken(lambda k: m[k]), F.lit(r.name)) for r in rules]) if rules else F.array().cast("array<string>")
+        return F.struct(*[m[k].alias(k) for k in MEASURES], base_failed(lambda k: m[k]).alias("base_failed"), F.array_compact(names).alias("broken_rules"))
+
+    judged = docs.select("doc_id", let(measures(F.col("text")), verdict).alias("v")).select("doc_id", "v.*")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    m = with_measures(docs)
-    at = m.select("*", *[F.col(f"_measures.{k}").alias(f"_m_{k}") for k in MEASURES]).drop("_measures")
-    n, repeats = F.col("_m_n_words"), F.col("_m_n_repeat_words")
-    good = (n >= MIN_WORDS) & (repeats * 100 <= n * MAX_REPEAT_PERCENT)
-    for r in rules:
-        good = good & ~Rule(r.name, f"_m_{r.measure}", f"_m_{r.of}", r.side, r.percent, r.floor).broken()
-    return at.filter(good).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, with their own columns.
+
+    The verdict is one expression that measures a text once; no column is
+    added, so none can clash, and the filter holds no copies of the measures.
+    """
+
+    def good(m: Column) -> Column:
+        passed = ~base_failed(lambda k: m[k])
+        for r in rules:
+            passed = passed & ~r.broken(lambda k: m[k])
+        return passed
+
+    return docs.filter(let(measures(F.col("text")), good))
 
 
 #: DuckDB SQL that gives every row its measures; {source} is the table.
