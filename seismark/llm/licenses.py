@@ -5,9 +5,16 @@ normalised; then the digest of the entire text, and of each of its lines
 taken as an entire notice, is hash-joined to digests of known licence texts
 that went through the same normalisation.
 
+A library of up to LIBRARY_ROWS digests is broadcast, and the lines of a text
+are looked up where it is, so nothing is shuffled. A larger one is joined:
+line digests go to the library, and only those found, and one row for each
+text, come back.
+
 Defined results: null and empty texts have the digest of the empty string and
 no licence; repeated rows each get their row; the licence library's digests
-never include the empty string's.
+never include the empty string's; of two entries with one digest the least id
+counts; long texts are read whole; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.llm.common import let
-from seismark.llm.license_texts import LIBRARY, SPELLINGS
+from seismark.llm.common import cut, let
+from seismark.llm.license_texts import DIGESTS, LIBRARY, SPELLINGS
 
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|©|\(c\))[^\n]*"
 #: Everything in ASCII but digits, letters and the line end.
@@ -32,43 +39,53 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def library(spark: SparkSession, known=LIBRARY) -> DataFrame:
-    """license_id, policy and digest of each known text (distinct digests)."""
+#: Digests up to which the library is broadcast.
+LIBRARY_ROWS = 5_000
+POLICIES = ("none", "permissive", "copyleft", "restricted")
+
+
+def library(spark: SparkSession, known=LIBRARY, digests=DIGESTS) -> DataFrame:
+    """license_id, policy and digest of each known text, and of texts known by their digest alone (distinct digests)."""
     rows = spark.createDataFrame(list(known), "license_id string, policy string, text string")
     whole = F.array_join(canonical_lines(F.col("text")), " ")
-    done = rows.select("license_id", "policy", whole.alias("c")).filter(F.col("c") != "")
-    return done.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min(F.struct("license_id", "policy")).alias("x")).select("digest", "x.license_id", "x.policy")
+    done = rows.select("license_id", "policy", whole.alias("c")).filter(F.col("c") != "").select("license_id", "policy", F.sha2("c", 256).alias("digest"))
+    if digests:
+        done = done.unionByName(spark.createDataFrame(list(digests), "license_id string, policy string, digest string"))
+    return done.groupBy("digest").agg(F.min(F.struct("license_id", "policy")).alias("x")).select("digest", "x.license_id", "x.policy")
+
+
+def _rank(policy: Column) -> Column:
+    return F.coalesce(F.array_position(F.array(*map(F.lit, POLICIES)), policy) - 1, F.lit(0))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, text_sha256, license_id of the whole text, notices (ids of lines), policy (the strictest found).
 
-    ``known``: digest, license_id, policy. Each text is normalised once; one row
-    of digests for each text, and one for each notice found, is shuffled.
+    ``known``: digest, license_id, policy. Each text is normalised once.
     """
     sha = lambda x: F.sha2(x, 256)
     digests = let(
         canonical_lines(F.col("text")),
-        lambda ls: F.concat(
-            F.array(F.struct(F.lit(True).alias("whole"), sha(F.array_join(ls, " ")).alias("digest"))),
-            F.transform(F.array_distinct(F.transform(ls, sha)), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("digest"))),
-        ),
-    )
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), digests.alias("_digests"))
-    units = rows.select("doc_id", "_row", F.explode("_digests").alias("u"))
-    hits = units.select("doc_id", "_row", "u.whole", "u.digest").join(known, "digest", "left").filter("whole OR license_id IS NOT NULL")
-    found = hits.groupBy("_row", "doc_id").agg(
-        F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_sha256"),
-        F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
-        F.array_join(F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",").alias("notices"),
-        F.coalesce(F.max(_rank(F.col("policy"))), F.lit(0)).alias("_rank"),
+        lambda ls: F.struct(sha(F.array_join(ls, " ")).alias("whole"), F.array_distinct(F.transform(ls, sha)).alias("lines")),
     )
-    policy = F.element_at(F.array(*map(F.lit, ("none", "permissive", "copyleft", "restricted"))), F.col("_rank") + 1)
-    return found.select("doc_id", "text_sha256", "license_id", "notices", policy.alias("policy"))
-
-
-def _rank(policy: Column) -> Column:
-    return F.when(policy == "permissive", 1).when(policy == "copyleft", 2).when(policy == "restricted", 3)
+    texts = docs.select("doc_id", digests.alias("d")).select("doc_id", F.col("d.whole").alias("text_sha256"), F.col("d.lines").alias("lines"))
+    head = known.limit(LIBRARY_ROWS + 1).collect()
+    whole = known.select(F.col("digest").alias("text_sha256"), "license_id", F.col("policy").alias("_policy"))
+    if len(head) <= LIBRARY_ROWS:
+        # the whole text by a hash join, its lines by a map of the same library
+        notices = F.create_map(*[x for r in head for x in (F.lit(r.digest), F.struct(F.lit(r.license_id).alias("id"), F.lit(r.policy).alias("policy")))]) if head else None
+        found = F.filter(F.transform("lines", lambda x: F.try_element_at(notices, x)), lambda x: x.isNotNull()) if head else F.array().cast("array<struct<id:string,policy:string>>")
+        rows = texts.withColumn("n", found).drop("lines").join(F.broadcast(whole), "text_sha256", "left")
+    else:
+        numbered = cut(texts.withColumn("_row", F.monotonically_increasing_id()))
+        lines = numbered.select("_row", F.explode("lines").alias("digest")).join(known, "digest")
+        hits = lines.groupBy("_row").agg(F.collect_set(F.struct(F.col("license_id").alias("id"), "policy")).alias("n"))
+        rows = numbered.drop("lines").join(hits, "_row", "left").join(whole, "text_sha256", "left")
+        rows = rows.withColumn("n", F.coalesce("n", F.array().cast("array<struct<id:string,policy:string>>")))
+    ids = F.array_join(F.sort_array(F.array_distinct(F.transform("n", lambda x: x["id"]))), ",")
+    rank = F.aggregate("n", _rank(F.col("_policy")), lambda acc, x: F.greatest(acc, _rank(x["policy"])))
+    policy = F.element_at(F.array(*map(F.lit, POLICIES)), (rank + 1).cast("int"))
+    return rows.select("doc_id", "text_sha256", "license_id", ids.alias("notices"), policy.alias("policy"))
 
 
 def op5_query(docs: DataFrame) -> DataFrame:
@@ -82,9 +99,10 @@ def op5_sql() -> str:
         t = f"replace({t}, '{old}', '{new}')"
     lines = f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
     known = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in LIBRARY)
+    extra = "".join(f" UNION ALL SELECT '{d}', '{i}', '{p}'" for i, p, d in DIGESTS)
     return f"""
 WITH k0(license_id, policy, text) AS (VALUES {known}),
-k AS (SELECT sha256(array_to_string({lines}, ' ')) AS digest, min(license_id) AS license_id, min(policy) AS policy FROM k0 GROUP BY 1),
+k AS (SELECT digest, min(license_id) AS license_id, min(policy) AS policy FROM (SELECT sha256(array_to_string({lines}, ' ')) AS digest, license_id, policy FROM k0{extra}) GROUP BY 1),
 d AS (SELECT doc_id, {lines} AS ls FROM documents),
 u AS (SELECT doc_id, ls, sha256(array_to_string(ls, ' ')) AS text_sha256 FROM d),
 p AS (SELECT DISTINCT doc_id, sha256(unnest(ls)) AS digest FROM u),
