@@ -4,15 +4,27 @@ The cascade is built over the complete key universe, the distinct hosts of
 the corpus. Level 0 encodes the listed keys; every next level encodes those
 keys of the other side that the level before took wrongly, until none is left.
 Asking the levels in turn gives exact membership for every key of the
-universe, with no join when urls are judged.
+universe, with no join when urls are judged. Keys that no level tells apart
+(two that agree in both hashes) are told by name, from an exact tail.
+
+Sizes: a level has 10 bits for each key that it encodes, the first one for
+each listed key of the corpus, and the ones after it a hundredth of the keys
+they come from; so all levels take about 1.3 MB for a million listed hosts.
+They are cut into hash blocks of 16 MB. A task opens the blocks of the keys it
+sees; past OPEN_BLOCKS blocks, rows go to the tasks of their block, which open
+one at a time.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path, fits no rule and is allowed; repeated rows are judged one by one.
+path, fits no rule and is allowed, unless the empty host is listed; of equally
+long rules the one with the longer host counts; repeated rows are judged one
+by one; long urls are read whole; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,7 +69,12 @@ BITS_PER_KEY, PROBES = 10, 7
 PRIME = 2147483647
 #: Bytes of bitmap in one broadcast; larger cascades are cut into hash blocks.
 BLOCK_BYTES = 16 << 20
-MAX_LEVELS = 28
+#: Levels after which what is left goes to the exact tail, which has a bound of its own.
+MAX_LEVELS, MAX_TAIL = 28, 100_000
+#: Blocks up to which every task may open all of them.
+OPEN_BLOCKS = 8
+#: Listed domains up to which they are broadcast to the hosts.
+BROADCAST_ROWS = 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -76,11 +93,12 @@ def _hashes(key: Column) -> tuple[Column, Column]:
 
 @dataclass
 class Cascade:
-    """Bitmaps by level; a key is listed if the first level that refuses it is odd."""
+    """Bitmaps by level; a key is listed if the first level that refuses it is odd. What passes all levels is listed if it is in ``tail``."""
 
     levels: list[np.ndarray]
+    tail: frozenset[str] | None = None
 
-    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def holds(self, a: np.ndarray, b: np.ndarray, keys: Sequence[str]) -> np.ndarray:
         listed = np.full(len(a), len(self.levels) % 2 == 1)
         open_ = np.ones(len(a), bool)
         for i, bits in enumerate(self.levels):
@@ -90,6 +108,9 @@ class Cascade:
                 into &= (bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) > 0
             listed[open_ & ~into] = i % 2 == 1
             open_ &= into
+        if self.tail is not None:
+            for k in np.flatnonzero(open_):
+                listed[k] = keys[k] in self.tail
         return listed
 
 
@@ -120,10 +141,10 @@ def _taken(keys: DataFrame, bits: np.ndarray, level: int) -> DataFrame:
     return keys.filter(into("a", "b"))
 
 
-def build(universe: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Cascade]:
+def build(universe: DataFrame, block_bytes: int = BLOCK_BYTES, max_levels: int = MAX_LEVELS) -> list[Cascade]:
     """Cascades by hash block. ``universe``: distinct key, and listed."""
     a, b = _hashes(F.col("key"))
-    keys = cut(universe.select(a.alias("a"), b.alias("b"), "listed"))
+    keys = cut(universe.select("key", a.alias("a"), b.alias("b"), "listed"))
     n = keys.filter("listed").count()
     blocks = max(1, math.ceil(n * BITS_PER_KEY / 8 / block_bytes))
     out = []
@@ -131,43 +152,55 @@ def build(universe: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Cascade]:
         mine = keys.filter(F.col("a") % blocks == k)
         now, rest, levels = mine.filter("listed"), mine.filter("NOT listed"), []
         size = now.count()
-        while size and len(levels) < MAX_LEVELS:
+        while size and len(levels) < max_levels:
             levels.append(_bitmap(now, len(levels), size))
-            wrong = cut(_taken(rest, levels[-1], len(levels) - 1).select("a", "b"))
+            wrong = cut(_taken(rest, levels[-1], len(levels) - 1))
             now, rest, size = wrong, now, wrong.count()
+        tail = None
         if size:
-            raise RuntimeError("the cascade does not end: two keys share both hashes")
-        out.append(Cascade(levels))
+            # all that every level takes: the keys of the last one, and those of the other side that it took wrongly
+            names = now.unionByName(rest).filter("listed").select("key").limit(MAX_TAIL + 1).collect()
+            if len(names) > MAX_TAIL:
+                raise RuntimeError("the cascade does not end: its levels tell too few keys apart")
+            tail = frozenset(r.key for r in names)
+        out.append(Cascade(levels, tail))
     return out
 
 
-def _asker(sent):
-    @F.pandas_udf(T.BooleanType())
-    def holds(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.holds(a.to_numpy(), b.to_numpy()))
-
-    return holds
+def with_listed(rows: DataFrame, key: str, cascades: list[Cascade], name: str) -> DataFrame:
+    """Add ``name``: exact membership of ``key``, a key of the universe."""
+    context, blocks = rows.sparkSession.sparkContext, len(cascades)
+    sent = [context.broadcast(c) for c in cascades]
+    alone = blocks > OPEN_BLOCKS
 
-
-def listed(key: Column, cascades: list[Cascade], frame: DataFrame) -> Column:
-    """Exact membership of a key of the universe."""
-    a, b = _hashes(key)
-    result = F.lit(False)
-    for k, cascade in enumerate(cascades):
-        if not cascade.levels:
-            continue
-        holds = _asker(frame.sparkSession.sparkContext.broadcast(cascade))
-        mine = holds(a, b) if len(cascades) == 1 else (a % len(cascades) == k) & holds(a, b)
-        result = mine if len(cascades) == 1 else result | mine
-    return result
+    @F.pandas_udf(T.BooleanType())
+    def holds(a: pd.Series, b: pd.Series, keys: pd.Series) -> pd.Series:
+        x, y, names = a.to_numpy(), b.to_numpy(), keys.tolist()
+        part, out = x % blocks, np.zeros(len(x), bool)
+        for k in np.unique(part):
+            mine = np.flatnonzero(part == k)
+            out[mine] = sent[k].value.holds(x[mine], y[mine], [names[m] for m in mine])
+            if alone:
+                sent[k]._value = None  # rows come block by block, so the next batch has others
+        return pd.Series(out)
+
+    a, b = _hashes(F.col(key))
+    if alone:
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # hosts of one block are spread by url as well, as a host may have a large share of the rows
+        rows = rows.repartition(n, a % blocks, F.pmod(F.monotonically_increasing_id(), F.lit(n))).sortWithinPartitions(a % blocks)
+    return rows.withColumn(name, holds(a, b, F.col(key)))
 
 
 def universe_of(hosts: DataFrame, blocked: DataFrame) -> DataFrame:
     """Distinct ``host`` values as key, listed if one of their suffixes is in ``blocked`` (domain)."""
-    keys = hosts.select(F.col("host").alias("key")).distinct()
+    keys = cut(hosts.select(F.col("host").alias("key")).distinct())
+    domains = cut(blocked.select("domain").distinct())
+    domains = F.broadcast(domains) if domains.count() <= BROADCAST_ROWS else domains
     labels = F.split("key", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hits = keys.select("key", F.explode(suffixes).alias("domain")).join(blocked.select("domain").distinct(), "domain", "left_semi")
+    # past the broadcast a plain join of two tables, which adaptive execution splits where a suffix has many hosts
+    hits = keys.select("key", F.explode(suffixes).alias("domain")).join(domains, "domain", "left_semi")
     marks = hits.select("key").distinct().withColumn("listed", F.lit(True))
     return keys.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
 
@@ -181,7 +214,7 @@ def judge(pages: DataFrame, blocked: DataFrame, rules: tuple[UrlRule, ...] = RUL
     for r in sorted(rules, key=lambda r: (len(r.name), len(r.host), r.name)):
         fits = r.fits(host, path)
         rule, verdict = F.when(fits, r.name).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
-    asked = urls.withColumn("_listed", listed(host, cascades, urls))
+    asked = with_listed(urls, "host", cascades, "_listed")
     by_list = F.when(F.col("_listed"), "block").otherwise("allow")
     return asked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
 
