@@ -3,24 +3,31 @@
 Windows of 10 normalised benchmark words (a shorter item is one window) are
 broadcast; every whole document is scanned once, each window of its words is
 looked up by hash and verified by equality. No shuffle takes place. A set of
-windows past ``BLOCK_WINDOWS`` is cut into blocks of that size; documents pass
-the blocks one after another, each against its own broadcast.
+windows past ``BLOCK_WINDOWS`` is cut into blocks of that size: each block is
+a scan of its own that writes down its hits and lets go of its windows before
+the next, so one block is in memory at a time; documents then meet their hits
+by doc_id and text digest.
 
 Defined results: null and empty texts have no words and no hits; items
 without words have no window; a null item_id reads as the empty string;
-repeated rows are judged one by one; other columns pass through.
+repeated rows are judged one by one, and items with equal windows all count;
+long texts are read whole; an empty table on either side gives no hits; other
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seismark.llm.common import cut, free_names, parts
+
 SPAN = 10
 #: Windows in one broadcast, about 60 MB in a Python worker at most.
 BLOCK_WINDOWS = 200_000
@@ -70,21 +77,19 @@ class Windows:
         return merged, found
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> list[Broadcast]:
-    """The benchmark's windows, broadcast in blocks of at most ``limit`` (one item may overrun its block)."""
-    sent, now = [], Windows()
-    context = benchmark.sparkSession.sparkContext
+def blocks(benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[Windows]:
+    """The benchmark's windows in blocks of at most ``limit`` (one item may overrun its block); one block at least."""
+    now, sent = Windows(), 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("binary").alias("t"))
     for row in rows.toLocalIterator():
         words = words_of(None if row.t is None else bytes(row.t))
         for k in range(max(1, len(words) - SPAN + 1) if words else 0):
             now.add(words[k : k + SPAN], row.i)
         if len(now.items) >= limit:
-            sent.append(context.broadcast(now))
-            now = Windows()
+            yield now
+            now, sent = Windows(), sent + 1
     if now.items or not sent:
-        sent.append(context.broadcast(now))
-    return sent
+        yield now
 
 
 HITS = "struct<n_words:bigint,spans:array<struct<start:int,stop:int>>,items:array<string>>"
@@ -93,31 +98,48 @@ _ARROW_HITS = pa.struct(
 )
 
 
-def _pass(df: DataFrame, sent: Broadcast, out: str) -> DataFrame:
+def _pass(df: DataFrame, sent: Broadcast, text: str, out: str) -> DataFrame:
+    """``df`` with ``out``: what the windows of ``sent`` hit in ``text``."""
+    names = [*df.columns, out]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = sent.value
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
-            for t in batch.column("_text").cast(pa.binary()):
+            for t in batch.column(names.index(text)).cast(pa.binary()):
                 words = words_of(t.as_py())
                 spans, items = windows.find(words)
                 rows.append({"n_words": len(words), "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(items)})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _ARROW_HITS)], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _ARROW_HITS)], names)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return df.mapInArrow(run, f"{schema}, `{out}` {HITS}")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str], limit: int = BLOCK_WINDOWS) -> DataFrame:
-    """The columns ``carry`` of ``docs``, and _n_words, _spans (hit words, merged) and _items of each row."""
-    df = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("_text"))
-    sent = blocks(benchmark, limit)
-    for k, b in enumerate(sent):
-        df = _pass(df, b, f"_hits{k}")
-    hits = [F.col(f"_hits{k}") for k in range(len(sent))]
-    spans = hits[0]["spans"] if len(sent) == 1 else _merged(F.sort_array(F.concat(*[h["spans"] for h in hits])))
-    items = hits[0]["items"] if len(sent) == 1 else F.sort_array(F.array_distinct(F.concat(*[h["items"] for h in hits])))
-    return df.select(*[F.col(f"`{c}`") for c in carry], hits[0]["n_words"].alias("_n_words"), spans.alias("_spans"), items.alias("_items"), "_text")
+def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: n_words, spans (hit words, merged) and items of each row."""
+    (hits,) = free_names(docs, "hits")
+    context, rest = docs.sparkSession.sparkContext, blocks(benchmark, limit)
+    first, second = next(rest), next(rest, None)
+    if second is None:
+        return _pass(docs, context.broadcast(first), "text", hits), hits
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    ids = docs.select("doc_id", "text", digest.alias("digest"))
+    found = None
+    for block in chain((first, second), rest):
+        sent = context.broadcast(block)
+        mine = cut(_pass(ids, sent, "text", "h").filter(F.size("h.spans") > 0).select("doc_id", "digest", "h.spans", "h.items").distinct())
+        sent.destroy()
+        found = mine if found is None else found.unionByName(mine)
+    one = found.groupBy("doc_id", "digest").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    one = cut(one.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), _merged(F.col("spans")).alias("spans"), "items"))
+    counted = _pass(docs, context.broadcast(Windows()), "text", hits)
+    doc, dig, spans, items = free_names(counted, "_doc", "_digest", "_spans", "_items")
+    one = one.toDF(doc, dig, spans, items)
+    met = counted.join(one, F.col("doc_id").eqNullSafe(F.col(doc)) & (digest == F.col(dig)), "left")
+    none = lambda c, like: F.coalesce(F.col(c), F.col(f"{hits}.{like}")).alias(like)
+    whole = F.struct(F.col(f"{hits}.n_words").alias("n_words"), none(spans, "spans"), none(items, "items"))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], whole.alias(hits)), hits
 
 
 def _merged(spans):
@@ -135,34 +157,37 @@ def _merged(spans):
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark window."""
-    return scan(docs, benchmark, docs.columns).filter(F.size("_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found, hits = scan(docs, benchmark)
+    return found.filter(F.size(f"{hits}.spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents, each without the text from the first to the last word of every hit span."""
     names = docs.columns
-    found = scan(docs, benchmark, names)
+    found, hits = scan(docs, benchmark)
+    found = found.select(*[F.col(f"`{c}`") for c in names], F.col(f"{hits}.spans").alias(hits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = []
-            for text, spans in zip(batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(names.index("text")).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if spans:
                     places = [m.span() for m in _WORD.finditer(text)]
                     for s in reversed(spans):
                         text = text[: places[s["start"]][0]] + text[places[s["stop"] - 1][1] :]
                 texts.append(None if text is None else text.decode())
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return found.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
 
 
 def op6_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    hit = F.aggregate("_spans", F.lit(0), lambda acc, s: acc + s["stop"] - s["start"]).cast("long")
-    return scan(docs, benchmark, ["doc_id"]).select(
-        "doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"),
+    found, h = scan(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark)
+    hit = F.aggregate(f"{h}.spans", F.lit(0), lambda acc, s: acc + s["stop"] - s["start"]).cast("long")
+    return found.select(
+        "doc_id", F.col(f"{h}.n_words").alias("n_words"), hit.alias("n_hit"), F.size(f"{h}.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(f"{h}.items", ","), 256).alias("items_sha256"), (F.size(f"{h}.spans") > 0).alias("contaminated"),
     )
 
 
