@@ -1,14 +1,18 @@
 """Chat formatting with a grammar round trip.
 
 A turn is rendered as ``<s>[INST]`` role ``[/INST]`` text ``</s>``. The parser
-splits on the end mark, then at the first role marks, and undoes escapes. A
-conversation is first rendered with its texts as they are; where the parser
-does not give back the source turns, it is rendered again with every ``&`` and
-every mark character of its roles and texts escaped, and checked again.
+splits on the end mark, wants the start mark at the head of each turn and a
+role mark in it, and nothing after the last end mark; text that departs from
+this is refused (null). Then it undoes escapes. A conversation is first
+rendered with its texts as they are; where the parser does not give back the
+source turns, it is rendered again with every ``&`` and every mark character
+of its roles and texts escaped, and checked again. A conversation that even
+then does not come back raises.
 
 Defined results: rows are ordered by turn (nulls first), then role, then text,
 so ties and repeats have one order; a null role or text is the empty string;
-rows with a null conv_id form one conversation.
+a row without a conv_id is a conversation of its own; long texts are read
+whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,20 +48,21 @@ def render(turns: Column, escaped: bool) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Turns read back from rendered text; raw text is kept for the mask."""
+    """Turns read back from rendered text, null if it departs from the grammar; raw text is kept for the mask."""
     pieces = F.split(formatted, r"</s>")
     bodies = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
 
     def turn(x: Column) -> Column:
         inner = F.substr(x, F.lit(len(OPEN) + 1))
         at = F.instr(inner, MID)
-        role = F.when(at > 0, F.substring(inner, F.lit(1), at - 1)).otherwise(F.lit(""))
-        raw = F.when(at > 0, F.substr(inner, at + F.lit(len(MID)))).otherwise(inner)
+        raw = F.substr(inner, at + F.lit(len(MID)))
         return F.struct(
-            unescape(role).alias("role"), unescape(raw).alias("text"), raw.alias("raw"), F.length(x).alias("chars"), F.length(raw).alias("raw_chars")
-        )
+            unescape(F.substring(inner, F.lit(1), at - 1)).alias("role"), unescape(raw).alias("text"), raw.alias("raw"),
+            F.length(x).alias("chars"), F.length(raw).alias("raw_chars"),
+        )
 
-    return F.transform(bodies, turn)
+    formed = F.forall(bodies, lambda x: F.startswith(x, F.lit(OPEN)) & (F.instr(x, MID) > len(OPEN)))
+    return F.when((F.element_at(pieces, -1) == "") & formed, F.transform(bodies, turn))
 
 
 def loss_spans(parsed: Column) -> Column:
@@ -76,27 +81,26 @@ def loss_spans(parsed: Column) -> Column:
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, parsed, loss_spans, escaped, identical."""
+    """One row per conversation: conv_id, formatted, parsed, loss_spans, escaped, identical (always true: a conversation that does not come back raises)."""
     turn = F.struct(
         F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    chats = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    same = lambda parsed, turns: F.transform(parsed, lambda p: F.struct(p["role"], p["text"])) == F.transform(
-        turns, lambda t: F.struct(t["role"], t["text"])
-    )
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    chats = rows.select("conv_id", alone.alias("_alone"), turn.alias("t")).groupBy("conv_id", "_alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    pairs = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    same = lambda text, turns: F.coalesce(pairs(parse(text)) == pairs(turns), F.lit(False))
+
+    def checked(text: Column) -> Column:
+        return F.when(same(text, F.col("turns")), text).otherwise(F.raise_error(F.lit("a conversation does not come back from its format")).cast("string"))
 
     def choose(plain: Column) -> Column:
-        fits = same(parse(plain), F.col("turns"))
-        return F.when(fits, F.struct(plain.alias("formatted"), F.lit(False).alias("escaped"))).otherwise(
-            F.struct(render(F.col("turns"), True).alias("formatted"), F.lit(True).alias("escaped"))
+        return F.when(same(plain, F.col("turns")), F.struct(plain.alias("formatted"), F.lit(False).alias("escaped"))).otherwise(
+            F.struct(let(render(F.col("turns"), True), checked).alias("formatted"), F.lit(True).alias("escaped"))
         )
 
     tried = chats.withColumn("r", let(render(F.col("turns"), False), choose))
-    read = tried.select("conv_id", "turns", "r.formatted", "r.escaped", parse(F.col("r.formatted")).alias("parsed"))
-    return read.select(
-        "conv_id", "formatted", "escaped", "parsed", loss_spans(F.col("parsed")).alias("loss_spans"),
-        same(F.col("parsed"), F.col("turns")).alias("identical"),
-    )
+    read = tried.select("conv_id", "r.formatted", "r.escaped", parse(F.col("r.formatted")).alias("parsed"))
+    return read.select("conv_id", "formatted", "escaped", "parsed", loss_spans(F.col("parsed")).alias("loss_spans"), F.lit(True).alias("identical"))
 
 
 def op2_query(conversations: DataFrame) -> DataFrame:
@@ -126,12 +130,12 @@ def op2_sql() -> str:
         f"contains({c}, '{m}')" for c in ("role", "text") for m in (CLOSE, *[safe for _, safe in ESCAPES])
     ) + f" OR contains(role, '{MID}')"
     return f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-f AS (SELECT *, bool_or({hit}) OVER (PARTITION BY conv_id) AS esc FROM c),
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', NULL UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', NULL),
+f AS (SELECT *, bool_or({hit}) OVER (PARTITION BY conv_id, alone) AS esc FROM c),
 r AS (SELECT *, CASE WHEN esc THEN {esc.format(x='role')} ELSE role END AS er, CASE WHEN esc THEN {esc.format(x='text')} ELSE text END AS et FROM f),
 g AS (SELECT conv_id, count(*)::BIGINT AS n_turns,
   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS l,
-  sum(length(er) + length(et) + {len(OPEN + MID + CLOSE)})::BIGINT AS formatted_chars FROM r GROUP BY conv_id)
+  sum(length(er) + length(et) + {len(OPEN + MID + CLOSE)})::BIGINT AS formatted_chars FROM r GROUP BY conv_id, alone)
 SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l)::BIGINT AS loss_chars, sha256(l) AS loss_sha256, formatted_chars, true AS identical FROM g"""
