@@ -157,19 +157,67 @@ def test_license_digests(spark):
     assert out[0].license_id == "MIT" and out[1].notices == "Apache-2.0" and out[2].policy == "none"
 
 
+@pytest.mark.parametrize("limit", [5_000, 3])
+def test_whole_licence_texts(spark, monkeypatch, limit):
+    """The library broadcast, and joined as one too large for that."""
+    from pathlib import Path
+
+    monkeypatch.setattr(licenses, "LIBRARY_ROWS", limit)
+    folder = Path("/usr/share/common-licenses")
+    texts = {name: (folder / name).read_text() for name in ("Apache-2.0", "GPL-3", "MPL-2.0") if (folder / name).exists()}
+    wrapped = {f"{k} in one line": " ".join(v.split()) for k, v in texts.items()}
+    unlicense = next(t for i, _, t in licenses.LIBRARY if t.startswith("This is free"))
+    every = {**texts, "u": "Copyright 2020 A. Person\n\n" + unlicense.lower(), "both": "SPDX-License-Identifier: EPL-2.0\nSPDX-License-Identifier: MIT\ntext", "none": None, "empty": ""}
+    out = {r.doc_id: r for r in licenses.op5_query(docs(spark, list(every.values()))).collect()}
+    got = {k: (out[i].license_id, out[i].notices, out[i].policy) for i, k in enumerate(every)}
+    assert got["u"][0] == "Unlicense" and got["both"] == (None, "EPL-2.0,MIT", "copyleft")
+    assert got["none"] == got["empty"] == (None, "", "none") and out[len(every) - 1].text_sha256 == out[len(every) - 2].text_sha256
+    if texts:
+        assert [got[k][0] for k in texts] == ["Apache-2.0", "GPL-3.0", "MPL-2.0"] and got["GPL-3"][2] == "copyleft"
+    assert len(wrapped) == len(texts)
+
+
+def test_chat_grammar_refuses(spark):
+    good, bad = "<s>[INST]user[/INST]hi</s>", ["XXXXXXXXXuser[/INST]hi</s>", "<s>[INST]user[/INST]hi</s>x", "<s>[INST]user hi</s>", "hi", "<s>[INST]user[/INST]hi</s><s>[INST</s>"]
+    d = spark.createDataFrame([(x,) for x in [good, *bad, ""]], "f string").select("f", chat.parse(F.col("f")).alias("p"))
+    out = {r.f: r.p for r in d.collect()}
+    assert [(t.role, t.text) for t in out[good]] == [("user", "hi")] and out[""] == [] and all(out[x] is None for x in bad)
+
+
+def test_chat_odd_rows(spark):
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "x" * 100_000), (None, 0, "user", "a"), (None, 0, "user", "a"), (2, 1, "assistant", "é😀"), (2, 0, "user", "")]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({"formatted": F.lit(1), "t": F.lit(2), "_alone": F.lit(3)})
+    got = sorted((r.conv_id or 0, [(t.role, t.text) for t in r.parsed]) for r in chat.format_chats(d).collect())
+    assert got == [(0, [("user", "a")]), (0, [("user", "a")]), (1, [("", "x" * 100_000), ("user", ""), ("user", "")]), (2, [("user", ""), ("assistant", "é😀")])]
+    q = {r.conv_id: r for r in chat.op2_query(d).collect()}
+    assert q[2].loss_chars == 2 and q[1].n_turns == 3 and q[-7].n_turns == 2 and q[1].loss_chars == 0
+    assert chat.format_chats(d.limit(0)).count() == 0 and chat.op2_query(d.limit(0)).count() == 1
+
+
 def test_windows_in_blocks_agree(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(12)]
     items = [(f"i{k}", " ".join(rng.choices(vocabulary, k=rng.choice([4, 14])))) for k in range(12)]
     d = docs(spark, [" ".join(rng.choices(vocabulary, k=60)) + " X. " + items[k % 12][1] for k in range(20)])
     bench = spark.createDataFrame(items, "item_id string, text string")
-    run = lambda n: [(r.doc_id, r._spans, r._items) for r in decontaminate.scan(d, bench, ["doc_id"], n).orderBy("doc_id").collect()]
-    assert run(10**6) == run(1)
+    d = d.unionByName(d.filter("doc_id = 3")).unionByName(d.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long"))).withColumns({"hits": F.lit(1), "_doc": F.lit(2)})
+    run = lambda n: sorted(str((r.doc_id, r["_hits"])) for r in decontaminate.scan(d, bench, n)[0].collect())
+    assert run(10**6) == run(1) == run(7)
+    assert len(list(decontaminate.blocks(bench, 1))) > 5 and len(list(decontaminate.blocks(bench))) == 1
+    d = d.drop("hits", "_doc").filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     clean = decontaminate.cut_spans(d, bench)
     assert clean.columns == d.columns and clean.count() == 20
     assert all(items[r.doc_id % 12][1] not in r.text for r in clean.collect())
 
 
+def opened(state):
+    return np.frombuffer(b"".join(state.filters.opened().blobs.values()), np.uint16)
+
+
+def table_of(df):
+    return sorted(map(str, (r.asDict() for r in df.collect())))
+
+
 def test_line_state_is_reversible(spark):
     long_line = "this line is long enough to count"
     a, b = docs(spark, [long_line, long_line, "x"]), docs(spark, ["", "", "", long_line + "\nrest", long_line]).filter("doc_id > 2")
@@ -177,12 +225,45 @@ def test_line_state_is_reversible(spark):
     both = lines.insert(first, b)
     back = lines.delete(both, b.select("doc_id"))
     assert both.repeated.count() == 1 and back.repeated.count() == 0 and first.repeated.count() == 0
-    assert np.count_nonzero(np.frombuffer(b"".join(both.filters.blobs.values()), np.uint16)) == 1
-    assert not any(np.frombuffer(x, np.uint16).any() for x in back.filters.blobs.values())
-    kept = {r.doc_id: r._kept for r in lines.apply(both, a.unionByName(b)).collect()}
+    assert np.count_nonzero(opened(both)) == 1 and not opened(back).any()
+    kept = {r.doc_id: r.kept for r in lines.apply(both, a.unionByName(b)).collect()}
     assert kept == {0: "", 1: "", 2: "x", 3: "rest", 4: long_line}
 
 
+def test_line_batches_equal_one_start(spark, tmp_path):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    parts = [d.filter(F.col("doc_id") % 3 == k) for k in range(3)]
+    whole, state = lines.start(d), lines.start(parts[0])
+    for p in (parts[1], parts[2], parts[1]):  # a batch that is there already changes nothing
+        state = lines.insert(state, p)
+    assert table_of(state.refs) == table_of(whole.refs)
+    lines.save(state, str(tmp_path / "s"))
+    state = lines.load(spark, str(tmp_path / "s"))
+    less = lines.delete(state, parts[2].select("doc_id"))
+    want = lines.start(parts[0].unionByName(parts[1]))
+    assert table_of(less.refs) == table_of(want.refs) and table_of(less.repeated) == table_of(want.repeated)
+    keys = lines._pairs([bytes(r.digest) for r in less.repeated.collect()])
+    assert less.filters.opened().holds(keys).all()
+    # a mark for each line at the limit, no more: what went is out of the filters
+    assert np.count_nonzero(opened(less)) == less.n_repeated
+
+
+@pytest.mark.parametrize("limits", [(0, 30_000, 16), (0, 1, 1), (10**6, 3, 16)])
+def test_lines_alike_at_every_size(spark, monkeypatch, limits):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    nulls = d.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    d = d.unionByName(nulls).unionByName(nulls)
+    want = table_of(lines.op7_query(d))
+    for name, value in zip(("BROADCAST_LINES", "SHARD_KEYS", "CELLS"), limits, strict=True):
+        monkeypatch.setattr(lines, name, value)
+    asked = []
+    real = CuckooFilter.load
+    monkeypatch.setattr(CuckooFilter, "load", classmethod(lambda cls, blob: asked.append(1) or real(blob)))
+    state = lines.start(d)
+    assert state.filters.table.count() == max(1, -(-state.n_repeated // limits[1])) or limits[1] < 30_000
+    assert state.filters.size > 0 and table_of(lines.op7_query(d)) == want
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys, other = (rng.integers(0, 2**63, (5000, 2)).astype(np.uint64) for _ in range(2))
@@ -192,11 +273,33 @@ def test_cuckoo_filter():
     assert f.holds(keys[2500:]).all() and f.holds(keys[:2500]).mean() < 0.01
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize(("size", "levels", "opened"), [(urls.BLOCK_BYTES, urls.MAX_LEVELS, 8), (100, urls.MAX_LEVELS, 8), (100, 2, 1), (20, 1, 0)])
+def test_cascade_is_exact(spark, monkeypatch, size, levels, opened):
+    """One block and many, all open or one at a time, and with a tail for what the levels leave."""
+    monkeypatch.setattr(urls, "OPEN_BLOCKS", opened)
     keys = spark.range(3000).select(F.format_string("h%d.example", "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    for size in (urls.BLOCK_BYTES, 100):
-        cascades = urls.build(keys, size)
-        assert keys.withColumn("got", urls.listed(F.col("key"), cascades, keys)).filter("got <> listed").count() == 0
+    cascades = urls.build(keys, size, levels)
+    assert (len(cascades) > 1) == (size < 1000) and all(len(c.levels) <= levels for c in cascades)
+    assert urls.with_listed(keys, "key", cascades, "got").filter("got <> listed").count() == 0
+    assert (levels > 2) or any(c.tail for c in cascades)
+
+
+def test_cascade_tells_keys_of_one_hash_apart(spark, monkeypatch):
+    monkeypatch.setattr(urls, "_hashes", lambda key: (F.lit(5).cast("long"), F.lit(7).cast("long")))
+    keys = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("", False)], "key string, listed boolean")
+    assert urls.with_listed(keys, "key", urls.build(keys), "got").filter("got <> listed").count() == 0
+
+
+def test_url_odd_rows(spark):
+    rows = [(0, None), (0, None), (None, "http://free-bets.example.com/de/"), (1, "http://a.free-bets.example.net/" + "x" * 100_000), (2, ""), (3, "://"), (4, "http://ORG/es/"), (5, "http://a.com/de/#x?"), (6, "a\nb://x.com/fr/y")]
+    d = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "listed": F.lit(2), "key": F.lit(3), "_listed": F.lit(4)})
+    got = sorted((str(r.page_id), r.host, r.rule, r.verdict) for r in urls.op8_query(d).collect())
+    want = [("0", "", None, "allow")] * 2 + [("1", "a.free-bets.example.net", None, "block"), ("2", "", None, "allow"), ("3", "", None, "allow"), ("4", "org", "org/", "allow"),
+            ("5", "a.com", "com/de/", "block"), ("6", "x.com", "com/fr/", "allow"), ("None", "free-bets.example.com", "com/de/", "block")]
+    assert got == want
+    big = spark.createDataFrame([("com",), ("x.y",)], "domain string")
+    hosts = spark.createDataFrame([("a.com",), ("com",), ("xcom",), ("z.x.y",), ("y",), ("",)], "host string")
+    assert {r.key for r in urls.universe_of(hosts, big).filter("listed").collect()} == {"a.com", "com", "z.x.y"}
 
 
 def test_url_rules(spark):
@@ -222,6 +325,71 @@ def test_best_fit_is_valid_and_tight():
     assert sum(sizes) / sum(h[0][2] for h in bins.values()) > 0.95
 
 
+def least_cost(sizes, lengths, overhead, square):
+    """The cost of the best way to put all sizes into bins, by trying every bin for the first of them."""
+    from functools import lru_cache
+    from itertools import combinations
+
+    @lru_cache(None)
+    def best(left):
+        if not left:
+            return 0
+        head, rest, least = left[0], left[1:], float("inf")
+        for k in range(len(rest) + 1):
+            for mates in combinations(range(len(rest)), k):
+                total = head + sum(rest[m] for m in mates)
+                if total <= lengths[-1]:
+                    c = packing.cost(next(x for x in lengths if x >= total), overhead, square)
+                    least = min(least, c + best(tuple(r for m, r in enumerate(rest) if m not in mates)))
+        return least
+
+    return best(tuple(sorted(sizes, reverse=True)))
+
+
+def test_best_fit_near_the_optimum():
+    rng, lengths, ratios = random.Random(4), (8, 16, 32), []
+    for _ in range(60):
+        sizes = [rng.randint(1, rng.choice([6, 16, 32])) for _ in range(rng.randint(1, 8))]
+        made = packing.best_fit(sizes, lengths, 1, 256)
+        got = sum(packing.cost(c, 1, 256) for c in {b: c for b, _, c in made}.values())
+        ratios.append(got / least_cost(sizes, lengths, 1, 256))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.04
+    # what is left decides: eight small pieces fill two short bins at less than a long one costs
+    assert {c for _, _, c in packing.best_fit([1000] * 8, (1024, 8192), 0, 8192)} == {1024}
+    assert {c for _, _, c in packing.best_fit([1000] * 8, (1024, 8192), 4096, 1 << 30)} == {8192}
+
+
+def test_bins_mix_lengths_and_do_not_depend_on_layout(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one = packing.pack(d, task_pieces=400)
+    assert {r.bin_capacity for r in packing.fill(packing.pack(d)).filter("bins > 3").collect()} >= {2048, 4096, 8192}
+    total = packing.fill(packing.pack(d)).agg(F.sum("tokens").alias("t"), F.sum(F.col("bins") * F.col("bin_capacity")).alias("c")).first()
+    assert total.t > 0.98 * total.c
+    assert table_of(one) == table_of(packing.pack(d.repartition(7, "text"), task_pieces=400))
+    used = one.groupBy("bin_id").agg(F.sum("n_tokens").alias("n"), F.max("bin_capacity").alias("c"), F.count_distinct("bin_capacity").alias("k"))
+    assert used.filter("n > c OR k > 1").isEmpty()
+
+
+def test_packing_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "EQUAL_PIECES", 4)
+    d = odd(spark).withColumns({"bin_id": F.lit("x"), "_h": F.lit(1), "_task": F.lit(2), "n_tokens": F.lit(0)})
+    d = d.unionByName(d.filter("doc_id = 6")).unionByName(d.filter("doc_id = 6")).unionByName(d.filter("doc_id = 6"))
+    out = packing.pack(d, task_pieces=3).collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 1) for r in d.collect())
+    got = Counter()
+    for r in out:
+        got[r.doc_id] += r.n_tokens
+    assert got == Counter({i: sum(n * c for (x, n), c in want.items() if x == i) for i, _ in want}) and packing.pack(d.limit(0)).count() == 0
+    held = {}
+    for r in out:
+        held.setdefault(r.bin_id, []).append((r.bin_offset, r.n_tokens, r.bin_capacity))
+    for rows in held.values():
+        at = 0
+        for offset, n, cap in sorted(rows):
+            assert offset == at and at + n <= cap
+            at += n
+
+
 def test_packing_holds_every_byte(spark):
     d = docs(spark, [None, "", "x" * 20_000, "é" * 100, "x" * 8191, "y"])
     out = packing.pack(d).collect()
@@ -276,12 +444,18 @@ def brute_pipeline(rows, items):
                 holders.setdefault(x, set()).add(i)
     gone = {x: max(h) for x, h in holders.items() if len(h) >= 3}
     rows = {i: "\n".join(y for y in t.split("\n") if gone.get(key(y), i) == i) for i, t in rows.items()}
-    fps = {i: simhash.fingerprint(t.encode()) for i, t in rows.items()}
-    root = brute_components(set(fps.values()))
-    first = {}
+    # near duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more, and all they reach
+    def shingles(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t.translate({65 + i: 97 + i for i in range(26)})) if x]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, head = {i: shingles(t) for i, t in rows.items()}, {i: i for i in rows}
     for i in sorted(rows):
-        first.setdefault(root[fps[i]], i)
-    rows = {i: rows[i] for i in first.values()}
+        for k in sorted(rows):
+            if k < i and head[i] != head[k] and len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]):
+                low, high = sorted((head[i], head[k]))
+                head = {x: low if h == high else h for x, h in head.items()}
+    rows = {i: t for i, t in rows.items() if head[i] == i}
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({65 + i: 97 + i for i in range(26)}))
     windows = set()
     for t in items:
@@ -329,6 +503,26 @@ def test_near_dedup_finds_all_texts_of_similarity_08(spark, monkeypatch, dense):
     assert len({parts[f] for f in prints}) > len(got)
 
 
+def test_sharding_against_brute_force(spark):
+    """Rows, sizes and digests by definition; counts, slots and links counted one by one; no single move within quota cuts less."""
+    rng = random.Random(9)
+    texts = [rng.choice(["a", "b" * 9, "c é", None, ""]) if rng.random() < 0.3 else f"t{rng.randrange(40)}" for _ in range(150)] + [f"alone {i}" for i in range(83)]
+    d = docs(spark, texts)
+    out = sharding.assign(d.withColumns({"g": F.lit(1), "n": F.lit(2), "_row": F.lit(3)}), shards=6).collect()
+    assert sorted(r.doc_id for r in out) == list(range(233))
+    sizes = Counter(r.shard for r in out)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(6))
+    plain = lambda t: (t or "").encode()
+    assert all((r.size, r.text_crc32) == (len(plain(texts[r.doc_id])) + 16, zlib.crc32(plain(texts[r.doc_id]))) for r in out)
+    place = {r.doc_id: r.shard for r in out}
+    mates = [(i, k) for i in range(233) for k in range(i) if plain(texts[i]) == plain(texts[k])]
+    counted = sharding.links(spark.createDataFrame([(texts[i] or "", s) for i, s in place.items()], "g string, shard int")).first()
+    assert counted.links == len(mates) and counted["cut"] == sum(place[i] != place[k] for i, k in mates)
+    assert counted.parted <= 6 and counted["cut"] < 0.35 * counted.links
+    again = {r.doc_id: r.shard for r in sharding.assign(d, shards=6).collect()}
+    assert place == again
+
+
 @pytest.mark.parametrize("copies", [4, 7])
 def test_sharding_keeps_groups_without_singles(spark, copies):
     texts = [f"copy{i // copies}" for i in range(60 * copies)]
