@@ -149,7 +149,8 @@ _add("forward_runup", lambda c: c.label_days.select("symbol", "dt", "fwd_up"), f
 _add("crash_onsets", lambda c: c.crashes, f"SELECT {K} FROM crasho")
 _add("rally_onsets", lambda c: labels.onsets(c.label_days, "is_rally"), f"SELECT {K} FROM rallyo")
 _add("label_events", lambda c: labels.label_events(c.bars), f"SELECT {K}, 'crash' AS kind FROM crasho UNION ALL SELECT {K}, 'rally' FROM rallyo")
-_add("label_events_index", lambda c: labels.label_events(c.bars, index_symbol="Brand#1").filter("kind = 'crash' AND symbol = 'Brand#1'"), f"SELECT {K}, 'crash' AS kind FROM indexo")
+_add("label_events_index", lambda c: labels.label_events(c.bars, index_symbol="Brand#1"), f"""
+SELECT {K}, 'crash' AS kind FROM crasho WHERE symbol <> 'Brand#1' UNION ALL SELECT {K}, 'crash' FROM indexo UNION ALL SELECT {K}, 'rally' FROM rallyo""")
 _add("lead_time", lambda c: labels.leads(c.alerts, c.crashes, c.days), f"SELECT {K}, {_b('lead')} FROM leads")
 _add("lead_report", lambda c: labels.lead_report(c.alerts, c.crashes, c.days), f"SELECT {_b(n_events='count(*)', n_caught='count(lead)', n_signals='(SELECT count(*) FROM alerts)', false_alarms='(SELECT count(*) FROM falses)')}, {_r(median_lead='quantile_cont(lead, 0.5)')} FROM leads")
 _add("false_alarms", lambda c: labels.false_alarms(c.alerts, c.crashes, c.days), f"SELECT {K} FROM falses")
@@ -338,6 +339,16 @@ FROM sc s JOIN sig g ON g.symbol = s.symbol AND g.dt = s.dt WHERE intensity >= 0
 _add("dashboard_payload", lambda c: report.dashboard_payload(c.bars, c.scored, c.signals), f"""
 SELECT b.symbol, count(*) AS sessions, min(b.dt) AS first_dt, max(b.dt) AS last_dt, round(max_by(close, b.dt), 2) AS last_close, {_b(exits="count(*) FILTER (action IN ('EXIT', 'EXIT_WATCH'))", anomaly_days='count(*) FILTER (intensity >= 0.95)')},
 round(1e2 * (1 - avg(CASE WHEN in_position THEN 1e0 ELSE 0e0 END)), 4) AS pct_in_cash FROM bars b JOIN sc s ON s.symbol = b.symbol AND s.dt = b.dt JOIN sig g ON g.symbol = b.symbol AND g.dt = b.dt GROUP BY b.symbol""")
+_flat = lambda c: signals.equal_weight(c.returns.withColumn("in_position", F.lit(True)))
+_add("chart_portfolio", lambda c: report.portfolio_chart(_curve(c), _flat(c)), f"""
+SELECT dt, {_r(strategy='equity', strategy_dd='dd')}, {_r('benchmark', benchmark_dd='benchmark / max(benchmark) OVER (ORDER BY dt) - 1')} FROM ddc JOIN
+(SELECT dt, exp(sum(ln(1 + d)) OVER (ORDER BY dt)) AS benchmark FROM (SELECT dt, coalesce(avg(ret), 0) AS d FROM hret GROUP BY dt)) USING (dt)""")
+_add("chart_scatter", lambda c: report.scatter_chart(drawdown.by_symbol(c.bars, c.signals)), f"""
+SELECT symbol, {_r(x='1e2 * bdd', y='1e2 * sdd')}, CASE WHEN 1e2 * (sdd - bdd) > 0.1 THEN 'shallower' WHEN 1e2 * (sdd - bdd) < -0.1 THEN 'deeper' ELSE 'unchanged' END AS side FROM ddsym""")
+_add("chart_symbol", lambda c: report.symbol_chart(c.bars, c.signals, c.crashes), f"""
+SELECT b.symbol, b.dt, {_r('close')}, NOT coalesce(in_position, true) AS in_cash, CASE WHEN action IN ('EXIT', 'EXIT_WATCH') THEN 'SELL' WHEN action = 'ENTER' THEN 'BUY' END AS marker, o.dt IS NOT NULL AS is_onset
+FROM bars b LEFT JOIN sig s ON s.symbol = b.symbol AND s.dt = b.dt LEFT JOIN crasho o ON o.symbol = b.symbol AND o.dt = b.dt""")
+_add("chart_schemes", lambda c: report.scheme_chart({s: signals.equal_weight(_period(c.returns).join(_walk_signals(c, s).select("symbol", "dt", "in_position"), ["symbol", "dt"], "left")) for s in RetrainConfig().schemes}))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

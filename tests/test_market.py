@@ -266,3 +266,21 @@ def test_csv_order_in_splits(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_dashboard_page(spark):
+    from seismark.operators import report
+
+    symbols = spark.createDataFrame([("A", -0.3, -0.2), ("B", -0.3, -0.3), ("C", -0.2, -0.4)], "symbol string, bh_max_drawdown double, strategy_max_drawdown double")
+    sides = {r.symbol: r.side for r in report.scatter_chart(symbols).collect()}
+    assert sides == {"A": "shallower", "B": "unchanged", "C": "deeper"}
+    flat = spark.createDataFrame([(DAY + dt.timedelta(i), float(v)) for i, v in enumerate([1, 2, 1])], "dt date, equity double")
+    portfolio = report.portfolio_chart(flat, flat.withColumn("equity", F.lit(1.0)))
+    assert [(r.strategy_dd, r.benchmark_dd) for r in portfolio.orderBy("dt").collect()] == [(0, 0), (0, 0), (-0.5, 0)]
+    many = spark.range(700).select(F.format_string("<s%d>", "id").alias("symbol"))
+    payload = spark.createDataFrame([("A", 1), ("B", 2), ("C</script>", 3)], "symbol string, sessions int")
+    page = report.dashboard("T & T", {"cagr": 0.1234, "trades": 3, "costs": 1234567.0}, portfolio, symbols, report.scheme_chart({"x": flat}), symbols, many, payload)
+    assert "T &amp; T" in page and "12.34%" in page and "Rs 1,234,567" in page and "The first 500 of 700 rows." in page
+    assert "&lt;s1&gt;" in page and "C</script>" not in page and page.count("<section") == 5 and page.count("<circle") == 3
+    with pytest.raises(ValueError):
+        report.dashboard("", {}, portfolio, symbols, report.scheme_chart({"x": flat}), symbols, many, payload.unionByName(payload.select(F.concat("symbol", F.lit("2")).alias("symbol"), "sessions")))
