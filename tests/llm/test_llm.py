@@ -1,6 +1,8 @@
 """Small fixtures and brute-force versions for the corpus operators."""
 
+import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -25,33 +27,78 @@ def docs(spark, texts):
 ODD = [None, "", "   \n\t", "one", "a b\n\nc", "word " * 5000, "same text here " * 9, "same text here " * 9]
 
 
+#: Names that operators use inside, and some that they return.
+CLASHES = (
+    "n_words", "fp", "shard", "slot", "digest", "g", "_measures", "_by_words", "_m_n_words", "_kept", "kept", "n_lines", "n_dropped", "_id", "text_", "gone", "_lost", "pad",
+    "_near_id", "_near_digest", "_hits0", "hits", "_spans", "_doc", "_digest", "id", "first", "head", "root", "keys", "sketch", "size", "d", "n", "v", "_row", "_b", "_h", "_task",
+)
+
+
 def odd(spark):
     """Nulls, blanks, a long text, repeated rows, a null id and columns with clashing names."""
-    d = docs(spark, ODD).withColumns({"n_words": F.lit(1), "fp": F.lit("x"), "shard": F.lit(9), "slot": F.lit(0), "digest": F.lit(b"d"), "g": F.lit(2)})
+    d = docs(spark, ODD).withColumns({name: F.lit(k) if k % 2 else F.lit(f"{k}") for k, name in enumerate(CLASHES)})
     return d.unionByName(d.filter("doc_id = 6")).unionByName(d.filter("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
 
 
+IDS = [0, 1, 2, 3, 4, 5, 6, 6, 7, None]
 DOC_OPS = {
-    "op1": quality.op1_query, "op3": sharding.op3_query, "op4": simhash.op4_query, "op5": licenses.op5_query, "op7": lines.op7_query,
+    "op1": quality.op1_query, "op3": sharding.op3_query, "op4": simhash.op4_query, "op5": licenses.op5_query, "op7": lines.op7_query, "op9": packing.op9_query,
     "op6": lambda d: decontaminate.op6_query(d, d.sparkSession.createDataFrame([("a", "same text here"), (None, None), ("e", "")], "item_id string, text string")),
     "op10": lambda d: toxicity.op10_query(d, d.sparkSession.createDataFrame([(3, 1, None), (4, 0, 1), (99, 1, 1)], "doc_id long, toxic int, quality int")),
 }
 
 
-@pytest.mark.parametrize("name", DOC_OPS)
-def test_odd_rows_and_empty_tables(spark, name):
-    d = odd(spark)
-    assert DOC_OPS[name](d).count() == d.count()
-    assert DOC_OPS[name](d.limit(0)).count() == 0
+def text_of(i):
+    return ODD[3] if i is None else ODD[i] or ""
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def test_odd_rows_have_their_values(spark):
+    got = {name: sorted(op(odd(spark)).collect(), key=lambda r: (r.doc_id is None, r.doc_id)) for name, op in DOC_OPS.items()}
+    for name, rows in got.items():
+        assert [r.doc_id for r in rows] == (IDS if name != "op9" else [0, 1, 2, 3, 4, 5, 5, 5, 5, 6, 6, 7, None]), name
+        assert DOC_OPS[name](odd(spark).limit(0)).count() == 0
+    words = {i: text_of(i).split() for i in IDS}
+    assert [r.n_words for r in got["op1"]] == [len(words[i]) for i in IDS] and not any(r.kept for r in got["op1"])
+    assert [(r.word_chars, r.n_repeat_words) for r in got["op1"]] == [(len("".join(words[i])), len(words[i]) if len(words[i]) > 8 else 0) for i in IDS]
+    assert [(r.size, r.text_crc32) for r in got["op3"]] == [(len(text_of(i)) + 16, zlib.crc32(text_of(i).encode())) for i in IDS]
+    assert len({(r.shard, r.slot) for r in got["op3"]}) == 10 and max(Counter(r.shard for r in got["op3"]).values()) == 1
+    blank, hot = {0, 1, 2}, {6, 7}
+    assert [r.component_id for r in got["op4"]] == [0 if i in blank else 6 if i in hot else 3 if i is None else i for i in IDS]
+    assert [r.fingerprint for r in got["op4"]] == [f"{simhash.fingerprint(text_of(i).encode()) % 2**64:016x}" for i in IDS]
+    assert [(r.license_id, r.notices, r.policy) for r in got["op5"]] == [(None, "", "none")] * 10
+    assert [r.text_sha256 for r in got["op5"]] == [sha(" ".join(words[i])) for i in IDS]
+    assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got["op6"]] == [(len(words[i]), 27, 1, sha("a")) if i in hot else (len(words[i]), 0, 0, sha("")) for i in IDS]
+    assert [(r.n_lines, r.n_dropped, r.kept_sha256) for r in got["op7"]] == [(text_of(i).count("\n") + 1, 0, sha(text_of(i))) for i in IDS]
+    assert [r.held_out for r in got["op10"]] == [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in IDS]
+    by_text = {}
+    for r in got["op10"]:
+        by_text.setdefault(text_of(r.doc_id), set()).add(r.score)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+    assert all(len(x) == 1 for x in by_text.values())
 
 
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_keep_columns(spark, k):
+    good = " ".join(f"the w{i} of" for i in range(30)) + "."
     d = odd(spark)
+    extra = d.filter("doc_id = 4").withColumns({"doc_id": F.lit(8).cast("long"), "text": F.lit(good), "n_chars": F.lit(len(good)).cast("long")})
+    d = d.unionByName(extra)
     out = corpus_pipeline.STAGES[k][1](spark, d, SF)
-    if k < len(corpus_pipeline.STAGES) - 1:
-        assert out.columns == d.columns
-    assert corpus_pipeline.STAGES[k][1](spark, d.limit(0), SF).count() == 0 and out.count() >= 0
+    assert corpus_pipeline.STAGES[k][1](spark, d.limit(0), SF).count() == 0
+    if k == len(corpus_pipeline.STAGES) - 1:
+        return
+    assert out.columns == d.columns
+    kept = {0: [8], 1: [*IDS[:-1], 8, None], 2: [0, 3, 4, 5, 6, 8], 3: [*IDS[:-1], 8, None]}[k]
+    rows = sorted(out.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    assert [r.doc_id for r in rows] == kept
+    for r in rows:
+        whole = good if r.doc_id == 8 else text_of(r.doc_id)
+        assert (r.text or "") == whole and all(r[name] == (i if i % 2 else f"{i}") for i, name in enumerate(CLASHES))
+        assert k != 1 or r.n_chars == len(whole)
 
 
 def compare(spark, name):
@@ -131,6 +178,35 @@ def test_simhash_links_lose_none(spark, monkeypatch, dense):
     assert {f: got.get(f, f) for f in fps} == brute_components(fps)
 
 
+def test_simhash_query_against_brute_force(spark):
+    """Fingerprints bit by bit, links pair by pair, over the whole table."""
+    import xxhash
+
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+    def fingerprint(text):
+        lower = text.translate({65 + i: 97 + i for i in range(26)})
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower)
+        grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    prints = {i: fingerprint(t) for i, t in rows.items()}
+    roots, least = brute_components(set(prints.values())), {}
+    for i in sorted(rows):
+        least.setdefault(roots[prints[i]], i)
+    want = {i: (f"{f:016x}", least[roots[f]]) for i, f in prints.items()}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries()["op4_simhash"](spark, SF).collect()} == want
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = [r for r in queries()["op10_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in labels]
+    hit = Counter((labels[r.doc_id], r.predicted) for r in out)
+    assert hit[0, 1] <= 0.02 * (hit[0, 0] + hit[0, 1]) and hit[1, 1] >= 0.9 * (hit[1, 0] + hit[1, 1]) > 0
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     x, y = "one two three four five six", "seven eight nine ten eleven twelve"
     ids = [(1, x), (1, x), (2, x), (3, y), (3, y), (1, y), (None, x), (None, "alone here"), (None, "alone here"), (4, None), (5, ""), (6, x), (6, "of its own")]
@@ -418,8 +494,6 @@ def test_toxicity_on_held_out_rows(spark):
 
 def brute_pipeline(rows, items):
     """The first four stages on plain Python rows: doc_id -> text."""
-    import re
-
     def measures(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
         g = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
