@@ -2,8 +2,8 @@
 
 Each tree grows from a keyed sample of all rows, one small group a tree, level
 by level in numpy. Forests of many training sets (one for each refit date) are
-grown in one job. A forest is a table of at most trees * 2 * samples nodes, so
-it is held by the driver and broadcast to the scoring tasks.
+grown in one job. A forest has trees * 4 * samples nodes at most, 13 bytes
+each, so it is held by the driver and broadcast to the scoring tasks.
 """
 
 from __future__ import annotations
@@ -35,14 +35,14 @@ def path_norm(n: int) -> float:
     return 1.0 if n == 2 else 2 * (math.log(n - 1) + EULER) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """(node, feature, threshold, left, right, size, depth) of one tree; leaves have feature -1.
+def grow(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """feature, threshold and size of each node of one tree; leaves have feature -1.
 
     The children of node i are 2i + 1 and 2i + 2. All nodes of a level are split at once.
     """
     limit = math.ceil(math.log2(max(2, len(x))))
     total = 2 ** (limit + 1) - 1
-    feature, threshold, size = np.full(total, -1), np.zeros(total), np.zeros(total, int)
+    feature, threshold, size = np.full(total, -1, np.int8), np.zeros(total), np.zeros(total, np.int32)
     size[0], at, live = len(x), np.zeros(len(x), int), np.arange(len(x))
     for _ in range(limit):
         rows = live[np.argsort(at[live], kind="stable")]
@@ -60,23 +60,17 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
         if not len(live):
             break
         at[live] = 2 * at[live] + 1 + (x[live, f[of]] >= cut[of])
-        size += np.bincount(at[live], minlength=total)
-    there = np.zeros(total, bool)
-    there[0] = True
-    inner = np.flatnonzero(feature >= 0)
-    there[2 * inner + 1] = there[2 * inner + 2] = True
-    ids = np.flatnonzero(there)
-    left = np.where(feature[ids] >= 0, 2 * ids + 1, -1)
-    right = np.where(feature[ids] >= 0, 2 * ids + 2, -1)
-    depth = np.floor(np.log2(ids + 1)).astype(int)
-    return list(zip(*(c.tolist() for c in (ids, feature[ids], threshold[ids], left, right, size[ids], depth)), strict=True))
+        size += np.bincount(at[live], minlength=total).astype(np.int32)
+    return feature, threshold, size
 
 
 @dataclass
 class Forest:
-    """``table``: the nodes as a pandas frame. ``scale``: sorted scores of training rows, of which intensities are shares."""
+    """``feature``, ``threshold`` and ``size``: by tree and node, as ``grow`` gives them. ``scale``: sorted scores of training rows, of which intensities are shares."""
 
-    table: pd.DataFrame
+    feature: np.ndarray
+    threshold: np.ndarray
+    size: np.ndarray
     samples: int
     columns: tuple[str, ...] = FEATURE_COLUMNS
     scale: np.ndarray | None = None
@@ -84,19 +78,31 @@ class Forest:
 
     @property
     def nodes(self) -> DataFrame:
-        return self.spark.createDataFrame(self.table, NODES)
+        """The nodes that a row can come to, as a table."""
+        there = np.zeros(self.feature.shape, bool)
+        there[:, 0] = True
+        t, n = np.nonzero(self.feature >= 0)
+        there[t, 2 * n + 1] = there[t, 2 * n + 2] = True
+        t, n = np.nonzero(there)
+        inner = self.feature[t, n] >= 0
+        depth = np.floor(np.log2(n + 1)).astype(int)
+        table = pd.DataFrame(dict(zip(_NAMES, (t, n, self.feature[t, n].astype(int), self.threshold[t, n], np.where(inner, 2 * n + 1, -1), np.where(inner, 2 * n + 2, -1), self.size[t, n], depth), strict=True)))
+        return self.spark.createDataFrame(table, NODES)
 
     def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """feature, threshold and path length at the end, each by tree and node."""
-        if self.table.empty:
+        """feature and threshold by tree and node, and path length by tree and node of the last level.
+
+        A leaf hands its path length on to all below it, so every row takes as many steps in every tree.
+        """
+        if not self.feature.size:
             raise ValueError("the forest is not fitted")
-        t, n = self.table["tree"].to_numpy(), self.table["node"].to_numpy()
-        shape = (int(t.max()) + 1, int(n.max()) + 1)
-        feature, threshold, ends = np.full(shape, -1, np.int8), np.zeros(shape), np.zeros(shape)
-        feature[t, n], threshold[t, n] = self.table["feature"], self.table["threshold"]
-        norms = np.array([path_norm(k) for k in range(int(self.table["size"].max()) + 1)])
-        ends[t, n] = self.table["depth"].to_numpy() + norms[self.table["size"].to_numpy()]
-        return feature, threshold, ends
+        norms = np.array([path_norm(k) for k in range(int(self.size.max()) + 1)])
+        total = self.feature.shape[1]
+        inner, ends = self.feature >= 0, np.floor(np.log2(np.arange(total) + 1)) + norms[self.size]
+        for n in range(total // 2):
+            closed = ~inner[:, n]
+            ends[closed, 2 * n + 1] = ends[closed, 2 * n + 2] = ends[closed, n]
+        return np.where(inner, self.feature, 0), self.threshold, ends[:, total // 2 :]
 
     def save(self, path: str) -> None:
         """Nodes, settings and score distribution: without the scale no intensity can be told."""
@@ -111,7 +117,11 @@ class Forest:
         meta = json.loads(spark.read.parquet(f"{path}/meta").first().meta)
         scale = np.sort(spark.read.parquet(f"{path}/scale").toPandas()["score"].to_numpy(dtype=float))
         table = spark.read.parquet(f"{path}/nodes").toPandas()
-        return Forest(table, meta["samples"], tuple(meta["columns"]), scale, spark)
+        t, n = table["tree"].to_numpy(), table["node"].to_numpy()
+        shape = (int(t.max()) + 1, 2 ** (math.ceil(math.log2(max(2, meta["samples"]))) + 1) - 1)
+        feature, threshold, size = np.full(shape, -1, np.int8), np.zeros(shape), np.zeros(shape, np.int32)
+        feature[t, n], threshold[t, n], size[t, n] = table["feature"], table["threshold"], table["size"]
+        return Forest(feature, threshold, size, meta["samples"], tuple(meta["columns"]), scale, spark)
 
 
 @dataclass(frozen=True)
@@ -184,11 +194,19 @@ def fit_each(frame: DataFrame, spans: dict[str, np.ndarray], config: ModelConfig
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key, tree = str(pdf["key"].iloc[0]), int(pdf["tree"].iloc[0])
         x = pdf.sort_values("g")[names].to_numpy(dtype=float)
-        return pd.DataFrame([(key, tree, *n) for n in grow(x, np.random.default_rng([seed, tree]))], columns=["key", *_NAMES])
+        made = grow(x, np.random.default_rng([seed, tree]))
+        return pd.DataFrame({"key": [key], "tree": [tree], **{n: [a.tobytes()] for n, a in zip(("feature", "threshold", "size"), made, strict=True)}})
 
     jobs = [(k, t, min(config.samples, n)) for k, n in totals.items() for t in range(config.trees)]
-    grown = draw(slim, spans, jobs, seed).groupBy("key", "tree").applyInPandas(run, f"key string, {NODES}").toPandas()
-    out = {k: Forest(t[_NAMES].reset_index(drop=True), min(config.samples, totals[k]), columns, None, spark) for k, t in grown.groupby("key")}
+    grown = draw(slim, spans, jobs, seed).groupBy("key", "tree").applyInPandas(run, "key string, tree int, feature binary, threshold binary, size binary").collect()
+    trees: dict[str, list] = {}
+    for r in sorted(grown, key=lambda r: (r.key, r.tree)):
+        trees.setdefault(r.key, []).append(r)
+    stacked = lambda k, name, kind: np.stack([np.frombuffer(r[name], kind) for r in trees[k]])
+    out = {
+        k: Forest(stacked(k, "feature", np.int8), stacked(k, "threshold", float), stacked(k, "size", np.int32), min(config.samples, totals[k]), columns, None, spark)
+        for k in trees
+    }
     some = draw(slim, spans, [(k, -1, min(config.max_scores, n)) for k, n in totals.items()], seed)
     scores = score_each(some, out, "key").select("key", "score").toPandas()  # at most max_scores a key
     for k, part in scores.groupby("key")["score"]:
@@ -207,15 +225,17 @@ def fit(features: DataFrame, config: ModelConfig = ModelConfig(), columns: tuple
 
 def mean_paths(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mean path length of each row of ``x`` over all trees."""
-    out = np.zeros(len(x))
+    out, first = np.zeros(len(x)), feature.shape[1] // 2
+    levels = (feature.shape[1] + 1).bit_length() - 2
     for a in range(0, len(x), CHUNK):
-        part = x[a : a + CHUNK]
-        rows, total = np.arange(len(part)), np.zeros(len(part))
+        part = np.ascontiguousarray(x[a : a + CHUNK])
+        flat, base, total = part.ravel(), np.arange(len(part)) * x.shape[1], np.zeros(len(part))
         for f, cut, end in zip(feature, threshold, ends, strict=True):
-            at = np.zeros(len(part), int)
-            while (inner := (g := f[at]) >= 0).any():
-                at = np.where(inner, 2 * at + 1 + (part[rows, g] >= cut[at]), at)
-            total += end[at]
+            at = np.zeros(len(part), np.int64)
+            for _ in range(levels):
+                right = flat.take(base + f.take(at)) >= cut.take(at)
+                at = 2 * at + 1 + right
+            total += end.take(at - first)
         out[a : a + CHUNK] = total / len(feature)
     return out
 
