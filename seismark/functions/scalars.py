@@ -25,6 +25,11 @@ def guarded(num: Column, den: Column) -> Column:
     return num / F.when(den > EPS, den)
 
 
+def keyed_digest(*keys: object) -> Column:
+    """A digest of a row's symbol and date under ``keys``, which any engine gets alike."""
+    return F.md5(F.concat_ws("|", "symbol", F.col("dt").cast("string"), *[F.lit(str(k)) for k in keys]).cast("binary"))
+
+
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("dt")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seismark.config import LabelConfig
-from seismark.functions.scalars import by_symbol
+from seismark.functions.scalars import by_symbol, keyed_digest
 
 #: Name, least and most sessions of lead.
 LEAD_BUCKETS = (("10+", 10, 10_000), ("5-9", 5, 9), ("2-4", 2, 4), ("0-1", 0, 1))
@@ -114,7 +114,7 @@ def horizon_decay(bars: DataFrame, fired: DataFrame, horizons: tuple[int, ...] =
 
 
 def random_alerts(days: DataFrame, alerts: DataFrame, seed: int = 0) -> DataFrame:
-    """As many days per symbol as ``alerts`` has, chosen by a keyed hash: the same on any cluster."""
+    """As many days per symbol as ``alerts`` has, chosen by a keyed digest: the same on any cluster."""
     wanted = alerts.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy("symbol").orderBy(F.xxhash64("symbol", "dt", F.lit(seed)), "dt")
+    order = Window.partitionBy("symbol").orderBy(keyed_digest(seed), "dt")
     return days.join(wanted, "symbol").withColumn("_k", F.row_number().over(order)).filter("_k <= _n").select("symbol", "dt")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seismark.config import FEATURE_COLUMNS, ModelConfig, RetrainConfig
-from seismark.functions.scalars import is_sell
+from seismark.functions.scalars import is_sell, keyed_digest
 from seismark.operators import drawdown, forest
 
 
@@ -22,7 +22,7 @@ def refit_dates(calendar: DataFrame, start: str, end: str) -> DataFrame:
 
 def ewma_sample(rows: DataFrame, as_of: str, n: int, c: RetrainConfig = RetrainConfig(), seed: int = 0) -> DataFrame:
     """n rows without replacement, weighted by decay ** age: the largest Gumbel keys, drawn by a keyed hash."""
-    u = (F.pmod(F.xxhash64("symbol", "dt", F.lit(as_of), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (F.conv(F.substring(keyed_digest(as_of, seed), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     key = F.datediff(F.lit(as_of).cast("date"), "dt") * F.ln(F.lit(c.ewma_decay)) - F.ln(-F.ln(u))
     return rows.withColumn("_key", key).orderBy(F.desc("_key"), "symbol", "dt").limit(n).drop("_key")
 

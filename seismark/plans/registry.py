@@ -173,7 +173,13 @@ def _rule_skill(c: Context) -> DataFrame:
     return out
 
 
-_add("rule_skill", _rule_skill)
+_RULES = {"high_decline": "intensity >= 0.99 AND phase = 'AcceleratingDecline'", "moderate_decline": "intensity >= 0.95 AND phase = 'AcceleratingDecline'", "high": "intensity >= 0.99"}
+_CAUGHT = "(SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM {} x JOIN cal d ON d.dt = x.dt WHERE x.symbol = o.symbol AND d.pos BETWEEN c.pos - 15 AND c.pos) THEN 1e0 ELSE 0e0 END) FROM crasho o JOIN cal c ON c.dt = o.dt)"
+_add("rule_skill", _rule_skill, " UNION ALL ".join(f"""
+SELECT rule, {_r('recall', 'random_recall', skill='CASE WHEN random_recall > 0 THEN recall / random_recall END')} FROM (
+WITH a AS (SELECT symbol, dt FROM sc WHERE {hit}), n AS (SELECT symbol, count(*) AS n FROM a GROUP BY 1),
+z AS (SELECT symbol, dt FROM (SELECT s.symbol, s.dt, n, row_number() OVER (PARTITION BY s.symbol ORDER BY md5(s.symbol || '|' || s.dt::VARCHAR || '|0'), s.dt) AS k FROM sc s JOIN n ON n.symbol = s.symbol) WHERE k <= n)
+SELECT '{name}' AS rule, {_CAUGHT.format('a')} AS recall, {_CAUGHT.format('z')} AS random_recall)""" for name, hit in _RULES.items()))
 
 # signals
 _add("reentry_mask", lambda c: c.scored.select("symbol", "dt", *[signals.reentry(r).alias(r) for r in signals.RULES]),
@@ -243,7 +249,10 @@ SELECT 'rolling', count(*), min(dt), max(dt) FROM pre WHERE dt < DATE '{_AS}' AN
 SELECT 'vol_purged', count(*), min(dt), max(dt) FROM pre WHERE dt < DATE '{_AS}' AND dt >= DATE '1996-06-01' AND dt NOT IN (SELECT dt FROM mk WHERE dispersion >
 (SELECT quantile_cont(dispersion, 0.9) FROM mk WHERE dt IN (SELECT dt FROM pre WHERE dt < DATE '{_AS}' AND dt >= DATE '1996-06-01')) AND dt >= DATE '1996-06-01')""")
 _add("walk_forward_blocks", lambda c: c.days.join(retrain.refit_dates(c.days, "1999-01-01", "2000-12-31"), (F.col("dt") >= F.col("as_of")) & (F.col("dt") < F.col("block_end"))).select("dt", "as_of"), "SELECT dt, as_of FROM cal JOIN refit ON dt >= as_of AND dt < block_end")
-_add("ewma_sample", lambda c: retrain.training_slice(c.features, _AS, "ewma").select("symbol", "dt"))
+_add("ewma_sample", lambda c: retrain.training_slice(c.features, _AS, "ewma").select("symbol", "dt"), f"""
+SELECT symbol, dt FROM (SELECT symbol, dt, datediff('day', dt, DATE '{_AS}') * ln(0.994e0) - ln(-ln((('0x' || substr(md5(symbol || '|' || dt::VARCHAR || '|{_AS}|0'), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0)) AS key
+FROM pre WHERE dt < DATE '{_AS}') QUALIFY row_number() OVER (ORDER BY key DESC, symbol, dt) <=
+(SELECT least(count(*), greatest(CAST(floor(4 * count(DISTINCT symbol) / (1 - 0.994e0)) AS BIGINT), 5000)) FROM pre WHERE dt < DATE '{_AS}')""")
 
 
 def _forest(c: Context) -> DataFrame:
