@@ -4,7 +4,10 @@ Measures are integers, and every threshold compares integers, so no rounding
 can tip a verdict. Nothing here shuffles: it is one narrow projection.
 
 Defined results: a null or empty text has no words and fails the base rules;
-repeated rows are judged one by one; extra columns pass through untouched.
+repeated rows are judged one by one, and so are rows without a doc_id; a
+measure that ties with its threshold passes; long texts are read whole; an
+empty table gives an empty result; other columns pass through untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -60,9 +63,10 @@ RULES = (
     Rule("words_too_short", "word_chars", "n_words", "min", 200),
     Rule("no_stop_words", "n_stop_words", "n_words", "min", 2, floor=50),
     Rule("repeated_lines", "n_dup_lines", "n_text_lines", "max", 30, floor=4),
+    Rule("stutter", "n_stutter", "n_words", "max", 30, floor=10),
 )
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_exclaims", "n_text_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_exclaims", "n_text_lines", "n_stutter")
 
 
 def _covered(starts: Column, span: int) -> Column:
@@ -104,8 +108,10 @@ def measures(text: Column) -> Column:
         whole_words(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeat_words(w).cast("long").alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))).cast("long").alias("n_stutter"),
         ),
     )
     by_lines = let(
@@ -115,19 +121,19 @@ def measures(text: Column) -> Column:
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         ),
     )
-    gone = lambda chars: F.length(safe) - F.length(F.translate(safe, chars, ""))
     parts = F.struct(by_words.alias("w"), by_lines.alias("l"))
     return let(
         parts,
         lambda p: F.struct(
             p["w"]["n_words"].alias("n_words"),
-            F.length(F.translate(safe, BLANKS, "")).cast("long").alias("word_chars"),
-            gone("#*$%&|<>").cast("long").alias("n_symbols"),
+            p["w"]["word_chars"].alias("word_chars"),
+            F.regexp_count(safe, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             p["l"]["n_dup_lines"].alias("n_dup_lines"),
             p["w"]["n_repeat_words"].alias("n_repeat_words"),
             p["w"]["n_stop_words"].alias("n_stop_words"),
-            gone("!").cast("long").alias("n_exclaims"),
+            (F.length(safe) - F.length(F.replace(safe, F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
             p["l"]["n_text_lines"].alias("n_text_lines"),
+            p["w"]["n_stutter"].alias("n_stutter"),
         ),
     )
 
@@ -179,7 +185,8 @@ qm AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
   coalesce(c.n, 0)::BIGINT AS n_repeat_words,
   len(list_filter(ws, lambda x: lower(x) IN ({stops})))::BIGINT AS n_stop_words,
   length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_exclaims,
-  len(ls)::BIGINT AS n_text_lines
+  len(ls)::BIGINT AS n_text_lines,
+  len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_stutter
   FROM qm_w w JOIN qm_l l USING (doc_id) LEFT JOIN qm_c c USING (doc_id))"""
 
 

@@ -126,6 +126,21 @@ def test_quality_repeats(spark):
     assert r.n_repeat_words == 20 and r.base_failed
 
 
+def test_quality_rules_one_by_one(spark):
+    plain = " ".join(f"the w{i} of" for i in range(30))
+    bad = {
+        "too_many_symbols": plain + " #" * 20, "shouting": plain + "!" * 40, "words_too_long": " ".join("the" + "x" * 40 + str(i) for i in range(30)),
+        "words_too_short": " ".join(chr(97 + i % 26) for i in range(60)) + " a the of", "no_stop_words": " ".join(f"x{i}" for i in range(60)),
+        "repeated_lines": "\n".join([plain, "a b", "a b", "a b"]), "stutter": " ".join(f"the w{i} w{i} w{i}" for i in range(20)),
+    }
+    out = {r.doc_id: r for r in quality.judge(docs(spark, [plain, *bad.values()])).collect()}
+    assert out[0].kept and not out[0].broken_rules
+    for k, name in enumerate(bad):
+        assert name in out[k + 1].broken_rules and not out[k + 1].kept, name
+    kept = {r.doc_id for r in quality.keep(docs(spark, [plain, *bad.values()])).collect()}
+    assert kept == {0} and {r.doc_id for r in quality.keep(docs(spark, [plain, plain + " x"]), rules=()).collect()} == {0, 1}
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>", "[/INST]", "&lt;", "&amp;lt;", "<s>[INST]assistant[/INST]x</s>", "é😀", ""]
     rows = [(c, t, role, nasty[(c + t) % len(nasty)]) for c in range(8) for t, role in enumerate(["system", "user", "assistant", "a[/INST]b", None])]
@@ -500,7 +515,7 @@ def brute_pipeline(rows, items):
         hit = {i + k for i in range(len(w) - 7) if g[tuple(w[i : i + 8])] > 1 for k in range(8)}
         ls = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
         return dict(n_words=len(w), word_chars=sum(map(len, w)), n_symbols=sum(c in "#*$%&|<>" for c in t), n_exclaims=t.count("!"), n_repeat_words=len(hit),
-                    n_dup_lines=len(ls) - len(set(ls)), n_text_lines=len(ls), n_stop_words=sum(x.lower() in quality.STOP_WORDS for x in w))
+                    n_dup_lines=len(ls) - len(set(ls)), n_text_lines=len(ls), n_stutter=sum(a == b for a, b in zip(w, w[1:])), n_stop_words=sum(x.lower() in quality.STOP_WORDS for x in w))
 
     def good(t):
         m = measures(t)
