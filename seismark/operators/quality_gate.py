@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seismark.config import CleaningConfig, GateConfig
-from seismark.functions.scalars import by_symbol, safe_log
+from seismark.functions.scalars import by_symbol, safe_log, simple_percent
 
 
 def checks(bars: DataFrame, audit: DataFrame, g: GateConfig = GateConfig(), c: CleaningConfig = CleaningConfig()) -> DataFrame:
@@ -63,3 +63,11 @@ def worst_flat(bars: DataFrame, n: int = 5) -> DataFrame:
     """The n symbols with the largest share of flat bars."""
     flat = bars.groupBy("symbol").agg(F.avg(F.col("is_flat").cast("double")).alias("flat_share"))
     return flat.withColumn("place", F.row_number().over(Window.orderBy(F.desc("flat_share"), "symbol"))).filter(F.col("place") <= n)
+
+
+def worst_jumps(bars: DataFrame, n: int = 5) -> DataFrame:
+    """The n symbols with the largest jump of the close, its date, and the jump as a simple return in per cent."""
+    r = safe_log(F.col("close")) - F.lag(safe_log(F.col("close"))).over(by_symbol())
+    worst = bars.select("symbol", "dt", r.alias("r")).groupBy("symbol").agg(F.max(F.struct(F.round(F.abs("r"), 9).alias("size"), "dt", "r")).alias("w"))
+    ranked = worst.select("symbol", "w.dt", simple_percent(F.col("w.r")).alias("percent"), F.row_number().over(Window.orderBy(F.desc("w.size"), "symbol")).alias("place"))  # one row per symbol
+    return ranked.filter(F.col("place") <= n)

@@ -146,7 +146,7 @@ FROM (SELECT p.dt, count(phase) AS n_live, 1e2 * count(*) FILTER (phase = 'Accel
 
 
 _market("", 5, 5, 5)
-_market("full", 60, 50, 20)
+_market("full", 60, 50, 12)
 CTE["sret"] = "SELECT symbol, dt, close / pc - 1 AS ret FROM ret"
 CTE["hret"] = "SELECT r.*, coalesce(in_position, true) AS held, coalesce(action, '') AS action FROM sret r LEFT JOIN sig s ON s.symbol = r.symbol AND s.dt = r.dt"
 CTE["eqw"] = """

@@ -81,6 +81,9 @@ UNION ALL SELECT 'prelisting_truncation', 'WARN', (SELECT count(*) FROM (SELECT
 UNION ALL SELECT 'symbols_dropped', 'WARN', (SELECT count(*) FROM (SELECT DISTINCT symbol FROM raw) LEFT JOIN per USING (symbol) WHERE coalesce(n, 0) < 200), 0, 0)
 SELECT *, detail BETWEEN lo AND hi AS passed FROM x)""")
 _add("flat_bar_worst", lambda c: quality_gate.worst_flat(c.flagged), f"SELECT symbol, {_r('flat_share')}, {_b('place')} FROM (SELECT *, row_number() OVER (ORDER BY flat_share DESC, symbol) AS place FROM (SELECT symbol, avg(CASE WHEN is_flat THEN 1e0 ELSE 0e0 END) AS flat_share FROM ret GROUP BY 1)) WHERE place <= 5")
+_add("worst_jumps", lambda c: quality_gate.worst_jumps(_valid(c)), f"""
+SELECT symbol, dt, {_r(percent='1e2 * (exp(r) - 1)')}, {_b('place')} FROM (SELECT *, row_number() OVER (ORDER BY size DESC, symbol) AS place FROM (SELECT symbol, dt, r, round(abs(r), 9) AS size FROM
+(SELECT symbol, dt, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY dt) AS r FROM valid) WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY size DESC, dt DESC) = 1)) WHERE place <= 5""")
 
 # features
 _with = lambda c: features.with_returns(c.bars)
@@ -103,8 +106,8 @@ _add("avg_corr", lambda c: market.average_correlation(_panel(c), 5, 5), f"SELECT
 _add("avg_corr_exact", lambda c: market.exact_correlation(_panel(c), 10), f"""
 SELECT dt, {_r(avg_corr='avg(c)')} FROM (SELECT a.dt, CASE WHEN count(a.r) OVER w >= 10 AND count(b.r) OVER w >= 10 THEN covar_samp(a.r, b.r) OVER w / nullif(stddev_samp(a.r) OVER w * stddev_samp(b.r) OVER w, 0) END AS c
 FROM pr a JOIN pr b ON a.dt = b.dt AND a.symbol < b.symbol WINDOW w AS (PARTITION BY a.symbol, b.symbol ORDER BY a.dt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) GROUP BY dt""")
-_add("market_features_full", lambda c: c.market_with(60, 50, 20), f"SELECT dt, {_b('n_live')}, {_r(*_MK)} FROM mkfull")
-_add("avg_corr_full", lambda c: market.average_correlation(_panel(c)), f"SELECT dt, {_r('avg_corr')} FROM corrfull")
+_add("market_features_full", lambda c: c.market_with(60, 50, market.symbol_floor(c.bars.select("symbol").distinct().count())), f"SELECT dt, {_b('n_live')}, {_r(*_MK)} FROM mkfull")
+_add("avg_corr_full", lambda c: market.average_correlation(_panel(c), min_symbols=12), f"SELECT dt, {_r('avg_corr')} FROM corrfull")
 _MS = ("breadth_decline", "median_slope_z", "dispersion")
 _add("market_summary", lambda c: market.market_summary(c.market, list(_MS)), " UNION ALL ".join(f"SELECT '{m}' AS metric, {_r(p1=f'quantile_cont({m}, 0.01)', median=f'quantile_cont({m}, 0.5)', p99=f'quantile_cont({m}, 0.99)')} FROM mk" for m in _MS))
 _add("purge_crisis_dates", lambda c: market.purge_crisis_dates(c.market), "SELECT dt FROM mk WHERE dispersion > (SELECT quantile_cont(dispersion, 0.9) FROM mk)")
