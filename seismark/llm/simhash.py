@@ -13,9 +13,11 @@ two bits, and they are tied to the least of them. No link is lost.
 
 Defined results: texts without words (null, empty, blank) have fingerprint
 zero and link like others; repeated rows each get their row; a component whose
-doc_ids are all null has a null id.
+doc_ids are all null has a null id, and else the least of the others; long
+texts are read whole; an empty table gives an empty result; other columns are
+not read, and ``keep`` passes them through, whatever their names.
 
-``keep`` leaves one row of each group of near copies. Two bits find few of
+``keep`` leaves one row of each class of near copies. Two bits find few of
 them, so it links by the shingle similarity of ``similar`` instead.
 """
 
