@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seismark.config import CleaningConfig
@@ -26,24 +26,29 @@ def valid_prices(bars: DataFrame) -> DataFrame:
     return bars.filter(good)
 
 
+def _steps(bars: DataFrame, config: CleaningConfig) -> DataFrame:
+    """``bars`` with _long (a long gap before the bar) and _jumped (an unadjusted jump to it)."""
+    close = safe_log(F.col("close"))
+    gap, jump = F.datediff("dt", F.lag("dt").over(by_symbol())), F.abs(close - F.lag(close).over(by_symbol()))
+    return bars.withColumns({"_long": gap > config.max_gap_days, "_jumped": jump > config.max_abs_log_return})
+
+
+def _last(flag: str) -> Column:
+    return F.max(F.when(F.col(flag), F.col("dt")))
+
+
 def breaks(bars: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFrame:
     """Per symbol: first_dt, the bar after the last long gap, the last jump, and how many there are of each."""
-    step = bars.select(
-        "symbol", "dt", F.datediff("dt", F.lag("dt").over(by_symbol())).alias("gap"),
-        F.abs(safe_log(F.col("close")) - F.lag(safe_log(F.col("close"))).over(by_symbol())).alias("jump"),
-    )
-    long_, jumped = F.col("gap") > config.max_gap_days, F.col("jump") > config.max_abs_log_return
-    return step.groupBy("symbol").agg(
-        F.min("dt").alias("first_dt"), F.max(F.when(long_, F.col("dt"))).alias("gap_dt"), F.count_if(long_).alias("n_gaps"),
-        F.max(F.when(jumped, F.col("dt"))).alias("action_dt"), F.count_if(jumped).alias("n_corp_actions"),
+    return _steps(bars, config).groupBy("symbol").agg(
+        F.min("dt").alias("first_dt"), _last("_long").alias("gap_dt"), F.count_if("_long").alias("n_gaps"), _last("_jumped").alias("action_dt"), F.count_if("_jumped").alias("n_corp_actions"),
     )
 
 
-def truncate(bars: DataFrame, found: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFrame:
-    """Bars from each symbol's last break on, up to the hard end."""
-    start = F.greatest("first_dt", "gap_dt", "action_dt")
-    starts = found.select("symbol", start.alias("_start"))
-    return bars.join(starts, "symbol").filter((F.col("dt") >= F.col("_start")) & (F.col("dt") <= config.hard_end)).drop("_start")
+def truncate(bars: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFrame:
+    """Bars from each symbol's last break on, up to the hard end; its windows share the symbol's partitioning."""
+    whole = Window.partitionBy("symbol")
+    start = F.greatest(F.min("dt").over(whole), _last("_long").over(whole), _last("_jumped").over(whole))
+    return _steps(bars, config).withColumn("_start", start).filter((F.col("dt") >= F.col("_start")) & (F.col("dt") <= config.hard_end)).drop("_start", "_long", "_jumped")
 
 
 def flagged(bars: DataFrame) -> DataFrame:
@@ -55,17 +60,16 @@ def flagged(bars: DataFrame) -> DataFrame:
 
 
 def clean(raw: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFrame:
-    """The whole chain, all symbols at once."""
-    valid = valid_prices(dedupe(raw))
-    return flagged(truncate(valid, breaks(valid, config), config))
+    """The whole chain, all symbols at once. Dealt by symbol first, its windows need no other exchange."""
+    return flagged(truncate(valid_prices(dedupe(raw.repartition("symbol"))), config))
 
 
 def audit(raw: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFrame:
     """One row of counters per raw symbol, with the cause of any cut and why it is not usable."""
-    one = dedupe(raw)
+    one = dedupe(raw.repartition("symbol"))
     valid = valid_prices(one)
     found = breaks(valid, config)
-    done = flagged(truncate(valid, found, config))
+    done = flagged(truncate(valid, config))
     n = F.count(F.lit(1))
     kept = done.groupBy("symbol").agg(
         n.alias("kept_rows"), F.min("dt").alias("first_valid"), F.count_if("is_flat").alias("flat_bars"), F.count_if("is_zero_vol").alias("zero_volume")
