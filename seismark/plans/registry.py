@@ -5,370 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from seismark.config import FEATURE_COLUMNS, GateConfig, RetrainConfig, SignalConfig, WindowConfig
-from seismark.functions.scalars import leg_cost, signal_strength, slippage
-from seismark.operators import alignment, backtest, cleaning, drawdown, features, forest, intensity, labels, market, quality_gate, regime, report, retrain, signals
-from seismark.plans.context import CAPITAL, CLEANING, TRAIN_END, Context, tidy
+from seismark.plans import query_bars, query_features, query_reports, query_retraining, query_scores, query_trading  # noqa: F401  they register their queries
+from seismark.plans.base import REGISTRY
+from seismark.plans.context import Context, tidy
 from seismark.plans.oracle import with_ctes
 
-#: The small shift keeps halves from rounding one way here and the other there.
-R = "round({} + 3e-10, 6) + 0e0 AS {}"
-_Q: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {}
-
-
-def _r(*names: str, **named: str) -> str:
-    return ", ".join([R.format(n, n) for n in names] + [R.format(v, k) for k, v in named.items()])
-
-
-def _b(*names: str, **named: str) -> str:
-    return ", ".join([f"{n}::BIGINT AS {n}" for n in names] + [f"({v})::BIGINT AS {k}" for k, v in named.items()])
-
-
-def _add(name: str, make: Callable[[Context], DataFrame], sql: str | None = None) -> None:
-    _Q[name] = (make, sql)
-
-
-OHLC = ("open", "high", "low", "close")
-K = "symbol, dt"
-_add("scan_symbols", lambda c: c.bars.select("symbol").distinct(), "SELECT DISTINCT symbol FROM bars")
-_add("dedupe_keep_last", lambda c: cleaning.dedupe(c.raw).select("symbol", "dt", *OHLC, "seq"), f"SELECT {K}, {_r(*OHLC)}, {_b('seq')} FROM dd1")
-_add("valid_price_filter", lambda c: cleaning.valid_prices(cleaning.dedupe(c.raw)).select("symbol", "dt", *OHLC), f"SELECT {K}, {_r(*OHLC)} FROM valid")
-_valid = lambda c: cleaning.valid_prices(cleaning.dedupe(c.raw))
-_add("gap_truncation", lambda c: cleaning.breaks(_valid(c)).select("symbol", "first_dt", "gap_dt", "n_gaps"), f"SELECT symbol, first_dt, gap_dt, {_b('n_gaps')} FROM brk")
-_add("corp_action_break", lambda c: cleaning.breaks(_valid(c)).select("symbol", "action_dt", "n_corp_actions"), f"SELECT symbol, action_dt, {_b('n_corp_actions')} FROM brk")
-_FLAGS = "is_flat, is_zero_vol, gap_filled"
-_add("clean_bars", lambda c: cleaning.clean(c.raw), f"SELECT {K}, {_r(*OHLC)}, {_b('volume')}, {_FLAGS} FROM cleaned")
-_add("quality_flags", lambda c: c.flagged.select("symbol", "dt", "is_flat", "is_zero_vol", "gap_filled"), f"SELECT {K}, is_flat, volume = 0 AS is_zero_vol, false AS gap_filled FROM ret")
-_add("load_index", lambda c: cleaning.clean(c.raw.filter("symbol = 'Brand#1'")), f"SELECT {K}, {_r(*OHLC)}, {_b('volume')}, {_FLAGS} FROM cleaned WHERE symbol = 'Brand#1'")
-_add("load_universe", lambda c: cleaning.universe(c.raw, config=CLEANING).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max("dt").alias("last_dt")),
-     f"SELECT symbol, {_b(bars='count(*)')}, max(dt) AS last_dt FROM cleaned GROUP BY symbol HAVING count(*) >= 200")
-_add("data_audit", lambda c: cleaning.audit(c.raw, CLEANING), f"""
-SELECT r.symbol, {_b('raw_rows', kept_rows='coalesce(kept_rows, 0)', truncated_rows='coalesce(v, 0) - coalesce(kept_rows, 0)', n_gaps='coalesce(n_gaps, 0)', n_corp_actions='coalesce(n_corp_actions, 0)',
-  flat_bars='coalesce(flat_bars, 0)', zero_volume='coalesce(zero_volume, 0)', dropped_bad_price='o - coalesce(v, 0)', dropped_duplicates='raw_rows - o')}, first_valid, coalesce(kept_rows, 0) >= 200 AS usable,
-  CASE WHEN coalesce(v, 0) = 0 THEN 'no valid price rows' WHEN coalesce(kept_rows, 0) < 200 THEN 'only ' || coalesce(kept_rows, 0) || ' bars' ELSE '' END AS reason,
-  CASE WHEN gap_dt IS NULL AND action_dt IS NULL THEN 'none' WHEN action_dt IS NULL OR gap_dt > action_dt THEN 'gaps' ELSE 'corporate action' END AS cause
-FROM (SELECT symbol, count(*) AS raw_rows FROM raw GROUP BY 1) r LEFT JOIN (SELECT symbol, count(*) AS o FROM dd1 GROUP BY 1) USING (symbol) LEFT JOIN (SELECT symbol, count(*) AS v FROM valid GROUP BY 1) USING (symbol)
-LEFT JOIN brk USING (symbol) LEFT JOIN (SELECT symbol, count(*) AS kept_rows, min(dt) AS first_valid, count(*) FILTER (is_flat) AS flat_bars, count(*) FILTER (is_zero_vol) AS zero_volume FROM cleaned GROUP BY 1) USING (symbol)""")
-_add("trading_calendar", lambda c: c.days, f"SELECT dt, {_b('pos')} FROM cal")
-_add("close_panel", lambda c: alignment.panel(c.bars, c.days, "close").select("symbol", "dt", "close"), f"SELECT {K}, {_r('close')} FROM panel")
-_add("position_panel", lambda c: alignment.positions(c.signals, c.bars, c.days), "SELECT g.symbol, g.dt, coalesce(in_position, true) AS in_position FROM grid g LEFT JOIN sig s ON s.symbol = g.symbol AND s.dt = g.dt")
-_add("listing_mask", lambda c: alignment.listing_mask(c.bars, c.days), f"SELECT {K}, is_listed FROM mask")
-_add("stale_price_valuation", lambda c: alignment.last_known(c.bars, c.days), f"SELECT {K}, {_r('close', last_close='last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING)')} FROM panel")
-_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-
-
-def _wide(c: Context) -> DataFrame:
-    symbols = sorted((r.symbol for r in c.bars.select("symbol").distinct().collect()), key=lambda x: int(x.split("#")[1]))  # the columns
-    return alignment.pivot(c.bars, "close", symbols).select("dt", *[F.col(f"`{x}`").alias(x.replace("Brand#", "b")) for x in symbols])
-
-
-_add("panel_pivot", _wide, "SELECT dt, " + ", ".join(R.format(f"max(CASE WHEN symbol = '{x}' THEN close END)", x.replace("Brand#", "b")) for x in _BRANDS) + " FROM bars GROUP BY dt")
-_GATE = GateConfig(min_symbols=20, min_sessions=100, train_start="1996-12-31")
-_FAIL = lambda cond: f"coalesce((SELECT sum(CASE WHEN {cond} THEN 1 ELSE 0 END) FROM gd), 0)"
-_add("quality_gate", lambda c: quality_gate.checks(cleaning.clean(c.raw), cleaning.audit(c.raw, CLEANING), _GATE), f"""
-SELECT name, passed, severity, detail::BIGINT AS detail FROM (
-WITH gd AS (SELECT *, datediff('day', lag(dt) OVER w, dt) AS gap, abs(ln(close) - lag(ln(close)) OVER w) AS jump FROM cleaned WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
-per AS (SELECT symbol, min(dt) AS a, max(dt) AS z, count(*) AS n, max(jump) AS j, avg(CASE WHEN is_flat THEN 1e0 ELSE 0e0 END) AS f FROM gd GROUP BY 1),
-x(name, severity, detail, lo, hi) AS (
-SELECT 'universe_size', 'ERROR', (SELECT count(*) FROM per), 20, 1000000000 UNION ALL SELECT 'calendar_nonempty', 'ERROR', (SELECT count(DISTINCT dt) FROM gd), 101, 1000000000
-UNION ALL SELECT 'no_residual_gaps', 'ERROR', {_FAIL('gap > 10')}, 0, 0 UNION ALL SELECT 'dates_sorted', 'ERROR', 0, 0, 0 UNION ALL SELECT 'dates_unique', 'ERROR', {_FAIL('gap = 0')}, 0, 0
-UNION ALL SELECT 'prices_positive', 'ERROR', {_FAIL('close <= 0')}, 0, 0 UNION ALL SELECT 'ohlc_consistent', 'ERROR', {_FAIL('high < greatest(open, close, low) - 1e-9 OR low > least(open, close, high) + 1e-9')}, 0, 0
-UNION ALL SELECT 'no_unadjusted_corporate_actions', 'ERROR', (SELECT count(*) FROM per WHERE j > 0.5), 0, 0 UNION ALL SELECT 'end_dates_aligned', 'ERROR', (SELECT datediff('day', min(z), max(z)) FROM per), 0, 7
-UNION ALL SELECT 'train_window_coverage', 'ERROR', (SELECT count(*) FROM per WHERE a <= DATE '1996-12-31'), 20, 1000000000 UNION ALL SELECT 'flat_bar_burden', 'WARN', (SELECT count(*) FROM per WHERE f > 0.1), 0, 0
-UNION ALL SELECT 'prelisting_truncation', 'WARN', (SELECT count(*) FROM (SELECT v.symbol, count(v.dt) AS v, max(coalesce(k, 0)) AS k FROM valid v LEFT JOIN (SELECT symbol, count(*) AS k FROM cleaned GROUP BY 1) USING (symbol) GROUP BY 1) WHERE v > k), 0, 0
-UNION ALL SELECT 'symbols_dropped', 'WARN', (SELECT count(*) FROM (SELECT DISTINCT symbol FROM raw) LEFT JOIN per USING (symbol) WHERE coalesce(n, 0) < 200), 0, 0)
-SELECT *, detail BETWEEN lo AND hi AS passed FROM x)""")
-_add("flat_bar_worst", lambda c: quality_gate.worst_flat(c.flagged), f"SELECT symbol, {_r('flat_share')}, {_b('place')} FROM (SELECT *, row_number() OVER (ORDER BY flat_share DESC, symbol) AS place FROM (SELECT symbol, avg(CASE WHEN is_flat THEN 1e0 ELSE 0e0 END) AS flat_share FROM ret GROUP BY 1)) WHERE place <= 5")
-_add("worst_jumps", lambda c: quality_gate.worst_jumps(_valid(c)), f"""
-SELECT symbol, dt, {_r(percent='1e2 * (exp(r) - 1)')}, {_b('place')} FROM (SELECT *, row_number() OVER (ORDER BY size DESC, symbol) AS place FROM (SELECT symbol, dt, r, round(abs(r), 9) AS size FROM
-(SELECT symbol, dt, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY dt) AS r FROM valid) WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY size DESC, dt DESC) = 1)) WHERE place <= 5""")
-
-# features
-_with = lambda c: features.with_returns(c.bars)
-_add("rolling_slope", lambda c: _with(c).select("symbol", "dt", features.rolling_slope(c.bars).alias("slope")), f"SELECT {K}, {_r('slope')} FROM sa")
-_add("rolling_accel", lambda c: _with(c).select("symbol", "dt", features.rolling_accel(c.bars).alias("accel")), f"SELECT {K}, {_r('accel')} FROM sa")
-_pairs = ", ".join(f"(y{a} - y{b}) / {b - a}e0" for a in range(5) for b in range(a + 1, 5))
-_add("theil_sen_slope", lambda c: _with(c).select("symbol", "dt", (features.theil_sen("lc", 5) * 100).alias("slope")),
-     f"SELECT {K}, CASE WHEN y4 IS NOT NULL THEN {R.format('1e2 * list_median', 'x').replace('list_median', 'list_aggregate([' + _pairs + '], ' + chr(39) + 'median' + chr(39) + ')').removesuffix(' AS x')} END AS slope FROM (SELECT *, lc AS y0 FROM sa)")
-_add("realized_vol", lambda c: _with(c).select("symbol", "dt", (features.realized_vol(60) * 100).alias("vol")), f"SELECT {K}, {_r(vol='1e2 * sd60')} FROM sa")
-_add("classify_phase", lambda c: features.slope_accel(c.bars).groupBy("phase").agg(F.count(F.lit(1)).alias("n")), "SELECT phase, count(*) AS n FROM sa GROUP BY phase")
-_add("slope_accel", lambda c: features.slope_accel(c.bars), f"SELECT {K}, {_r('slope', 'accel', 'vol', 'slope_z', 'accel_z', ret_1d='1e2 * r')}, phase FROM sa")
-_FEATS = ("ret_1d", "vol_short", "vol_long", *FEATURE_COLUMNS, "vol")
-_add("precursors", lambda c: c.features, f"SELECT {K}, {_r(*_FEATS)}, phase FROM pre")
-_add("feature_coverage", lambda c: c.features.filter("dt >= '1996-01-01'").agg(*[F.avg(F.col(f).isNotNull().cast("double")).alias(f) for f in FEATURE_COLUMNS]),
-     "SELECT " + _r(**{f: f"avg(CASE WHEN {f} IS NOT NULL THEN 1e0 ELSE 0e0 END)" for f in FEATURE_COLUMNS}) + " FROM pre WHERE dt >= DATE '1996-01-01'")
-_MK = ("breadth_decline", "breadth_advance", "median_slope_z", "dispersion", "avg_corr", "pct_below_ma50")
-_add("market_features", lambda c: c.market, f"SELECT dt, {_b('n_live')}, {_r(*_MK)} FROM mk")
-_panel = lambda c: alignment.panel(c.bars, c.days, "close")
-_add("avg_corr", lambda c: market.average_correlation(_panel(c), 5, 5), f"SELECT dt, {_r('avg_corr')} FROM corr")
-_add("avg_corr_exact", lambda c: market.exact_correlation(_panel(c), 10), f"""
-SELECT dt, {_r(avg_corr='avg(c)')} FROM (SELECT a.dt, CASE WHEN count(a.r) OVER w >= 10 AND count(b.r) OVER w >= 10 THEN covar_samp(a.r, b.r) OVER w / nullif(stddev_samp(a.r) OVER w * stddev_samp(b.r) OVER w, 0) END AS c
-FROM pr a JOIN pr b ON a.dt = b.dt AND a.symbol < b.symbol WINDOW w AS (PARTITION BY a.symbol, b.symbol ORDER BY a.dt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) GROUP BY dt""")
-_add("market_features_full", lambda c: c.market_with(60, 50, market.symbol_floor(c.bars.select("symbol").distinct().count())), f"SELECT dt, {_b('n_live')}, {_r(*_MK)} FROM mkfull")
-_add("avg_corr_full", lambda c: market.average_correlation(_panel(c), min_symbols=12), f"SELECT dt, {_r('avg_corr')} FROM corrfull")
-_MS = ("breadth_decline", "median_slope_z", "dispersion")
-_add("market_summary", lambda c: market.market_summary(c.market, list(_MS)), " UNION ALL ".join(f"SELECT '{m}' AS metric, {_r(p1=f'quantile_cont({m}, 0.01)', median=f'quantile_cont({m}, 0.5)', p99=f'quantile_cont({m}, 0.99)')} FROM mk" for m in _MS))
-_add("purge_crisis_dates", lambda c: market.purge_crisis_dates(c.market), "SELECT dt FROM mk WHERE dispersion > (SELECT quantile_cont(dispersion, 0.9) FROM mk)")
-_FLAG = "coalesce(breadth_decline >= 30 AND median_slope_z <= -0.2, false)"
-_add("market_signal", lambda c: market.market_signal(c.market, 30.0, -0.2), f"SELECT dt, {_FLAG} AS market_flag FROM mk")
-_add("market_signal_full", lambda c: market.market_signal(c.market), "SELECT dt, coalesce(breadth_decline >= 75 AND median_slope_z <= -1.5, false) AS market_flag FROM mk")
-_add("market_episodes", lambda c: market.episodes(market.market_signal(c.market, 30.0, -0.2)), f"""
-SELECT {_b('episode')}, min(dt) AS start_dt, max(dt) AS end_dt, count(*) AS sessions FROM (SELECT dt, f, sum(CASE WHEN f AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (ORDER BY dt) AS episode
-FROM (SELECT dt, f, lag(f) OVER (ORDER BY dt) AS p FROM (SELECT dt, {_FLAG} AS f FROM mk))) WHERE f GROUP BY episode""")
-_add("realized_hv", lambda c: _with(c).select("symbol", "dt", regime.realized_hv().alias("hv")), f"SELECT {K}, {_r('hv')} FROM rega")
-_add("regime_absolute", lambda c: regime.detect(c.bars, "absolute", lookback=2, vol_warmup=1).select("symbol", "dt", "pct_per_day", "regime"), f"SELECT {K}, {_r(pct_per_day='ppd')}, regime FROM rega")
-_rq = lambda x, q, k: f"CASE WHEN count({x}) OVER w >= {k} THEN quantile_cont({x}, {q}) OVER w END"
-
-
-def _regime_sql(n: int, k: int) -> str:
-    return f"""
-SELECT {K}, CASE WHEN ppd IS NULL OR a IS NULL THEN 'Sideways' WHEN ppd >= d - 1e-9 THEN 'Rally' WHEN ppd >= c - 1e-9 THEN 'Rising' WHEN ppd <= a + 1e-9 THEN 'Crashing' WHEN ppd <= b + 1e-9 THEN 'Falling' ELSE 'Sideways' END AS regime
-FROM (SELECT *, {_rq('ppd', 0.05, k)} AS a, {_rq('ppd', 0.25, k)} AS b, {_rq('ppd', 0.75, k)} AS c, {_rq('ppd', 0.95, k)} AS d FROM reg0 WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))"""
-
-
-_add("regime_labels", lambda c: regime.detect(c.bars, lookback=120, warmup=60).select("symbol", "dt", "regime"), _regime_sql(120, 60))
-_add("regime_labels_full", lambda c: regime.detect(c.bars).select("symbol", "dt", "regime"), _regime_sql(750, 250))
-_add("vol_regime", lambda c: regime.detect(c.bars, "absolute", lookback=120).select("symbol", "dt", "vol_regime"), f"""
-SELECT {K}, CASE WHEN hv IS NULL OR a IS NULL THEN 'MedVol' WHEN hv <= a + 1e-9 THEN 'LowVol' WHEN hv >= b - 1e-9 THEN 'HighVol' ELSE 'MedVol' END AS vol_regime
-FROM (SELECT *, {_rq('hv', 0.33, 60)} AS a, {_rq('hv', 0.66, 60)} AS b FROM reg0 WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 119 PRECEDING AND CURRENT ROW))""")
-
-# intensity
-_add("ecdf_intensity", lambda c: c.scored.select("symbol", "dt", "score", "intensity"), f"SELECT {K}, {_r('score', 'intensity')} FROM sc")
-_add("ecdf_per_symbol", lambda c: intensity.ecdf_per_symbol(c.proxy, intensity.train_window(c.proxy, "1995-01-01", TRAIN_END)), f"""
-SELECT {K}, {_r('score')}, {_r(intensity='''CASE WHEN score IS NULL THEN NULL WHEN (SELECT count(*) FROM train t WHERE t.symbol = s.symbol) >= 100
-  THEN (SELECT count(*) FROM train t WHERE t.symbol = s.symbol AND t.score <= s.score)::DOUBLE / (SELECT count(*) FROM train t WHERE t.symbol = s.symbol) ELSE intensity END''')} FROM sc s""")
-_add("intensity_band", lambda c: c.banded.select("symbol", "dt", "band"), f"SELECT {K}, band FROM banded")
-_add("band_counts", lambda c: intensity.band_counts(c.scored), f"SELECT band, {_b(n='count(*)', symbols='count(DISTINCT symbol)')} FROM banded GROUP BY band")
-_add("alert_rates", lambda c: intensity.alert_rates(c.scored.filter("dt >= '1999-01-01'")), f"""
-SELECT {_b(high_alerts='h', declining='d')}, {_r(per_symbol_year='h / (s * y)', declining_share='d / greatest(h, 1)')} FROM (SELECT count(*) FILTER (band = 'High') AS h, count(*) FILTER (band = 'High' AND phase = 'AcceleratingDecline') AS d,
-count(DISTINCT symbol) AS s, datediff('day', min(dt), max(dt)) / 365.25 AS y FROM banded WHERE dt >= DATE '1999-01-01')""")
-_add("signal_strength", lambda c: c.scored.select("symbol", "dt", signal_strength(F.col("intensity"), F.col("slope_z")).alias("strength")), f"SELECT {K}, {_r(strength='coalesce(intensity, 0) * coalesce(abs(slope_z), 0)')} FROM sc")
-
-# labels
-_add("forward_drawdown", lambda c: c.label_days.select("symbol", "dt", "fwd_dd"), f"SELECT {K}, {_r('fwd_dd')} FROM lab")
-_add("forward_runup", lambda c: c.label_days.select("symbol", "dt", "fwd_up"), f"SELECT {K}, {_r('fwd_up')} FROM lab")
-_add("crash_onsets", lambda c: c.crashes, f"SELECT {K} FROM crasho")
-_add("rally_onsets", lambda c: labels.onsets(c.label_days, "is_rally"), f"SELECT {K} FROM rallyo")
-_add("label_events", lambda c: labels.label_events(c.bars), f"SELECT {K}, 'crash' AS kind FROM crasho UNION ALL SELECT {K}, 'rally' FROM rallyo")
-_add("label_events_index", lambda c: labels.label_events(c.bars, index_symbol="Brand#1"), f"""
-SELECT {K}, 'crash' AS kind FROM crasho WHERE symbol <> 'Brand#1' UNION ALL SELECT {K}, 'crash' FROM indexo UNION ALL SELECT {K}, 'rally' FROM rallyo""")
-_add("lead_time", lambda c: labels.leads(c.alerts, c.crashes, c.days), f"SELECT {K}, {_b('lead')} FROM leads")
-_add("lead_report", lambda c: labels.lead_report(c.alerts, c.crashes, c.days), f"SELECT {_b(n_events='count(*)', n_caught='count(lead)', n_signals='(SELECT count(*) FROM alerts)', false_alarms='(SELECT count(*) FROM falses)')}, {_r(median_lead='quantile_cont(lead, 0.5)')} FROM leads")
-_add("false_alarms", lambda c: labels.false_alarms(c.alerts, c.crashes, c.days), f"SELECT {K} FROM falses")
-_add("lead_distribution", lambda c: labels.lead_distribution(labels.leads(c.alerts, c.crashes, c.days)), "SELECT CASE WHEN lead >= 10 THEN '10+' WHEN lead >= 5 THEN '5-9' WHEN lead >= 2 THEN '2-4' WHEN lead >= 0 THEN '0-1' ELSE 'missed' END AS bucket, count(*) AS n FROM leads GROUP BY 1")
-_add("hit_rate", lambda c: labels.hit_rate(labels.leads(c.alerts, c.crashes, c.days)), f"SELECT h::BIGINT AS horizon, {_r(rate='avg(CASE WHEN lead <= h THEN 1e0 ELSE 0e0 END)')} FROM leads, (SELECT unnest([0, 1, 2, 3, 5, 10]) AS h) GROUP BY h")
-_fired = lambda c: c.scored.select("symbol", "dt", F.coalesce((F.col("intensity") >= 0.95) & (F.col("phase") == "AcceleratingDecline"), F.lit(False)).alias("fired"))
-_add("horizon_decay", lambda c: labels.horizon_decay(c.bars, _fired(c)), f"""
-SELECT {_b('horizon')}, {_r('base', 'given_signal', lift='CASE WHEN base > 0 THEN given_signal / base END')} FROM (SELECT h AS horizon, avg(b) AS base, avg(CASE WHEN f THEN b END) AS given_signal FROM (""" + " UNION ALL ".join(
-    f"SELECT {h} AS h, CASE WHEN count(close) OVER f{h} = {h} AND min(close) OVER f{h} / close - 1 <= -0.1 THEN 1e0 ELSE 0e0 END AS b, coalesce(intensity >= 0.95 AND phase = 'AcceleratingDecline', false) AS f FROM bars JOIN sc USING (symbol, dt) WINDOW f{h} AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)" for h in (1, 2, 3, 5, 10)) + ") GROUP BY h)")
-
-
-def _rule_skill(c: Context) -> DataFrame:
-    days, out = c.scored.select("symbol", "dt"), None
-    for name, hit in {"high_decline": (F.col("intensity") >= 0.99) & (F.col("phase") == "AcceleratingDecline"), "moderate_decline": (F.col("intensity") >= 0.95) & (F.col("phase") == "AcceleratingDecline"), "high": F.col("intensity") >= 0.99}.items():
-        alerts = c.scored.filter(hit).select("symbol", "dt")
-        chance = labels.random_alerts(days, alerts)
-        got = [labels.leads(a, c.crashes, c.days).agg(F.avg(F.col("lead").isNotNull().cast("double")).alias(n)) for a, n in ((alerts, "recall"), (chance, "random_recall"))]
-        one = got[0].crossJoin(got[1]).select(F.lit(name).alias("rule"), "recall", "random_recall", F.try_divide("recall", "random_recall").alias("skill"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-_RULES = {"high_decline": "intensity >= 0.99 AND phase = 'AcceleratingDecline'", "moderate_decline": "intensity >= 0.95 AND phase = 'AcceleratingDecline'", "high": "intensity >= 0.99"}
-_CAUGHT = "(SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM {} x JOIN cal d ON d.dt = x.dt WHERE x.symbol = o.symbol AND d.pos BETWEEN c.pos - 15 AND c.pos) THEN 1e0 ELSE 0e0 END) FROM crasho o JOIN cal c ON c.dt = o.dt)"
-_add("rule_skill", _rule_skill, " UNION ALL ".join(f"""
-SELECT rule, {_r('recall', 'random_recall', skill='CASE WHEN random_recall > 0 THEN recall / random_recall END')} FROM (
-WITH a AS (SELECT symbol, dt FROM sc WHERE {hit}), n AS (SELECT symbol, count(*) AS n FROM a GROUP BY 1),
-z AS (SELECT symbol, dt FROM (SELECT s.symbol, s.dt, n, row_number() OVER (PARTITION BY s.symbol ORDER BY md5(s.symbol || '|' || s.dt::VARCHAR || '|0'), s.dt) AS k FROM sc s JOIN n ON n.symbol = s.symbol) WHERE k <= n)
-SELECT '{name}' AS rule, {_CAUGHT.format('a')} AS recall, {_CAUGHT.format('z')} AS random_recall)""" for name, hit in _RULES.items()))
-
-# signals
-_add("reentry_mask", lambda c: c.scored.select("symbol", "dt", *[signals.reentry(r).alias(r) for r in signals.RULES]),
-     f"SELECT {K}, coalesce(intensity >= 0.95 AND phase = 'AcceleratingAdvance', false) AS rally_signal, coalesce(phase = 'DeceleratingDecline', false) AS decel, true AS time, coalesce(phase, '') <> 'AcceleratingDecline' AS not_declining FROM sc")
-_add("severe_signal", lambda c: c.frame.select("symbol", "dt", signals.severe().alias("severe")), f"SELECT {K}, sev AS severe FROM inp")
-_add("severe_persistent", lambda c: c.frame.select("symbol", "dt", signals.severe(SignalConfig(exit_intensity=0.9, persistence=2)).alias("severe")),
-     f"SELECT {K}, coalesce(h AND lag(h) OVER (PARTITION BY symbol ORDER BY dt), false) AS severe FROM (SELECT *, coalesce(intensity >= 0.9 AND phase = 'AcceleratingDecline', false) AS h FROM frame)")
-_add("mild_signal", lambda c: c.frame.select("symbol", "dt", signals.mild().alias("mild")), f"SELECT {K}, mld AS mild FROM inp")
-_add("watch_confirms", lambda c: c.frame.select("symbol", "dt", signals.watch_confirms(c.frame).alias("confirms")), f"SELECT {K}, conf AS confirms FROM inp")
-_add("generate_signals", lambda c: c.signals, f"SELECT {K}, exit_signal, watching, reentry_ok, in_position, action FROM sig")
-_add("equal_weight_equity", lambda c: signals.equal_weight(c.held_returns), f"SELECT dt, {_r('equity')} FROM eqw")
-_add("performance", lambda c: signals.performance(signals.equal_weight(c.held_returns), 5.0), f"SELECT {_r(cagr='pow(max_by(equity, dt), 0.2e0) - 1', max_drawdown='min(dd)')} FROM ddc")
-_add("reentry_comparison", lambda c: signals.compare_reentry(c.frame, c.returns, 5.0), " UNION ALL ".join(f"""
-SELECT '{r}' AS rule, {_r('trades_per_sym_yr', 'cash_share', 'cagr', 'max_drawdown', 'bh_cagr', 'bh_max_drawdown')} FROM (
-WITH h AS (SELECT r.symbol, r.dt, ret, coalesce(s.h0, true) AS held, coalesce(s.action, '') AS action FROM sret r JOIN (SELECT DISTINCT symbol FROM in{r}) m ON m.symbol = r.symbol LEFT JOIN rec{r} s ON s.symbol = r.symbol AND s.dt = r.dt),
-e AS (SELECT dt, exp(sum(ln(1 + a)) OVER (ORDER BY dt)) AS a, exp(sum(ln(1 + b)) OVER (ORDER BY dt)) AS b FROM (SELECT dt, coalesce(avg(CASE WHEN held THEN ret WHEN ret IS NOT NULL THEN 0 END), 0) AS a, coalesce(avg(ret), 0) AS b FROM h GROUP BY dt)),
-w AS (SELECT *, a / max(a) OVER (ORDER BY dt) - 1 AS da, b / max(b) OVER (ORDER BY dt) - 1 AS db FROM e)
-SELECT (SELECT count(*) FILTER (action IN ('EXIT', 'EXIT_WATCH')) / (SELECT count(DISTINCT symbol) FROM bars)::DOUBLE / 5e0 FROM h) AS trades_per_sym_yr, (SELECT 1 - avg(CASE WHEN held THEN 1e0 ELSE 0e0 END) FROM h) AS cash_share,
-pow(max_by(a, dt), 0.2e0) - 1 AS cagr, min(da) AS max_drawdown, pow(max_by(b, dt), 0.2e0) - 1 AS bh_cagr, min(db) AS bh_max_drawdown FROM w)""" for r in signals.RULES))
-_add("contribution", lambda c: signals.contribution(c.returns, c.signals), f"""
-SELECT symbol, {_r('edge_pp', share='abs(edge_pp) / nullif(sum(abs(edge_pp)) OVER (), 0)')}, {_b('exits')} FROM (SELECT symbol, 1e2 * (exp(sum(ln(1 + CASE WHEN held THEN coalesce(ret, 0) ELSE 0 END))) - exp(sum(ln(1 + coalesce(ret, 0))))) AS edge_pp,
-count(*) FILTER (action IN ('EXIT', 'EXIT_WATCH')) AS exits FROM hret GROUP BY symbol)""")
-
-# costs and backtest
-_legs = lambda c: c.bars.join(c.features.select("symbol", "dt", "vol_ratio"), ["symbol", "dt"]).select("symbol", "dt", "close", "vol_ratio", F.when(F.dayofmonth("dt") % 2 == 0, "buy").otherwise("sell").alias("side"))
-_SIDE = "CASE WHEN day(b.dt) % 2 = 0 THEN 'buy' ELSE 'sell' END"
-_add("slippage", lambda c: _legs(c).select("symbol", "dt", "side", slippage(F.col("close"), F.col("side"), F.col("vol_ratio")).alias("fill")),
-     f"SELECT b.symbol, b.dt, {_SIDE} AS side, {_r(fill=f'close * (1 + CASE WHEN day(b.dt) % 2 = 0 THEN 1 ELSE -1 END * least(5e-4 * (1 + greatest(coalesce(vol_ratio, 1) - 1, 0)), 1e-2))')} FROM bars b JOIN pre p ON p.symbol = b.symbol AND p.dt = b.dt")
-_COSTS = ("notional", "brokerage", "exchange", "sebi", "gst", "stamp_duty", "stt", "dp_charge", "total_cost")
-_add("leg_cost", lambda c: _legs(c).select("symbol", "dt", "side", leg_cost(F.col("side"), F.col("close"), F.lit(100), F.add_months("dt", 312)).alias("k")).select("symbol", "dt", "side", *[f"k.{x}" for x in _COSTS]), f"""
-SELECT {K}, side, {_r(*_COSTS[:-1], total_cost='exchange + sebi + gst + stamp_duty + stt + dp_charge')} FROM (SELECT *, 1.8e-1 * (exchange + sebi) AS gst FROM (SELECT symbol, dt, {_SIDE} AS side, close * 1e2 AS notional, 0e0 AS brokerage, close * 1e2 * 1e-6 AS sebi,
-close * 1e2 * CASE WHEN dt + INTERVAL 312 MONTH >= DATE '2024-10-01' THEN 2.97e-5 ELSE 3.25e-5 END AS exchange, CASE WHEN day(dt) % 2 = 0 THEN close * 1e2 * 1.5e-4 ELSE 0e0 END AS stamp_duty, close * 1e2 * 1e-3 AS stt,
-CASE WHEN day(dt) % 2 = 1 THEN 1.534e1 ELSE 0e0 END AS dp_charge FROM bars b))""")
-
-
-_equity = lambda c: backtest.equity(c.fold, alignment.last_known(c.bars, c.days), c.sleeve_capital)
-_add("backtest_trades", lambda c: backtest.trades(c.fold), f"SELECT {K}, side, {_b('qty')}, {_r('price', 'total_cost')} FROM btrec WHERE side IS NOT NULL")
-_add("backtest_equity", lambda c: _equity(c).select("dt", F.round("equity", 3).alias("equity")), f"SELECT dt, {_r(equity='round(equity, 3)')} FROM beq")
-_add("realised_gains", lambda c: backtest.realised(c.fold), f"SELECT symbol, sold_on, {_b('qty', 'holding_days')}, {_r('gain')} FROM real")
-_add("terminal_liquidation", lambda c: backtest.open_lots(c.fold, c.bars), f"SELECT symbol, sold_on, {_b('qty', 'holding_days')}, {_r('gain')} FROM lots")
-_add("capital_gains", lambda c: backtest.capital_gains(backtest.realised(c.fold)), f"SELECT {_b('fy')}, {_r('stcg_gain', 'ltcg_gain', 'tax')} FROM tax")
-_add("equity_after_tax", lambda c: backtest.after_tax(_equity(c), backtest.capital_gains(backtest.realised(c.fold))).select("dt", F.round("equity", 3).alias("equity")),
-     f"SELECT dt, {_r(equity='round(equity - coalesce((SELECT sum(tax) FROM tax WHERE least(make_date(fy + 1, 3, 31), (SELECT max(dt) FROM beq)) <= e.dt), 0), 3)')} FROM beq e")
-
-
-def _backtest_summary(c: Context) -> DataFrame:
-    sales = backtest.realised(c.fold)
-    paid = backtest.capital_gains(sales).agg(F.coalesce(F.sum("tax"), F.lit(0.0)).alias("tax_paid"))
-    all_ = backtest.capital_gains(sales.unionByName(backtest.open_lots(c.fold, c.bars))).agg(F.coalesce(F.sum("tax"), F.lit(0.0)).alias("tax_liquidated"))
-    use = backtest.trades(c.fold).agg(F.count(F.lit(1)).alias("trades"), F.sum("total_cost").alias("costs"))
-    perf = signals.performance(_equity(c).withColumn("equity", F.col("equity") / CAPITAL), 5.0)
-    cents = lambda *names: [F.round(n, 3).alias(n) for n in names]
-    out = use.crossJoin(paid).crossJoin(all_).crossJoin(perf).withColumn("deferred_tax", F.col("tax_liquidated") - F.col("tax_paid"))  # single rows
-    return out.select("trades", *cents("costs", "tax_paid", "tax_liquidated", "deferred_tax"), "cagr", "max_drawdown")
-
-
-_add("backtest_summary", _backtest_summary, f"""
-SELECT {_b('trades')}, {_r(costs='round(costs, 3)', tax_paid='round(p, 3)', tax_liquidated='round(a, 3)', deferred_tax='round(a - p, 3)')}, {_r('cagr', 'max_drawdown')} FROM
-(SELECT count(*) AS trades, sum(total_cost) AS costs FROM btrec WHERE side IS NOT NULL), (SELECT coalesce(sum(tax), 0) AS p FROM tax), (SELECT coalesce(sum(tax), 0) AS a FROM taxall),
-(SELECT pow(max_by(equity, dt) / 1e6, 0.2e0) - 1 AS cagr, min(dd) AS max_drawdown FROM (SELECT dt, equity, equity / max(equity) OVER (ORDER BY dt) - 1 AS dd FROM beq))""")
-_add("refit_dates", lambda c: retrain.refit_dates(c.days, "1999-01-01", "2000-12-31"), "SELECT as_of, block_end FROM refit")
-_AS = "1999-06-01"
-_counts = lambda c, scheme: retrain.training_slice(c.features, _AS, scheme, c.market).agg(F.count(F.lit(1)).alias("n"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt")).withColumn("scheme", F.lit(scheme))
-_add("training_slice", lambda c: _counts(c, "incremental").unionByName(_counts(c, "rolling")).unionByName(_counts(c, "vol_purged")), f"""
-SELECT 'incremental' AS scheme, count(*) AS n, min(dt) AS first_dt, max(dt) AS last_dt FROM pre WHERE dt < DATE '{_AS}' UNION ALL
-SELECT 'rolling', count(*), min(dt), max(dt) FROM pre WHERE dt < DATE '{_AS}' AND dt >= DATE '1996-06-01' UNION ALL
-SELECT 'vol_purged', count(*), min(dt), max(dt) FROM pre WHERE dt < DATE '{_AS}' AND dt >= DATE '1996-06-01' AND dt NOT IN (SELECT dt FROM mk WHERE dispersion >
-(SELECT quantile_cont(dispersion, 0.9) FROM mk WHERE dt IN (SELECT dt FROM pre WHERE dt < DATE '{_AS}' AND dt >= DATE '1996-06-01')) AND dt >= DATE '1996-06-01')""")
-_add("walk_forward_blocks", lambda c: c.days.join(retrain.refit_dates(c.days, "1999-01-01", "2000-12-31"), (F.col("dt") >= F.col("as_of")) & (F.col("dt") < F.col("block_end"))).select("dt", "as_of"), "SELECT dt, as_of FROM cal JOIN refit ON dt >= as_of AND dt < block_end")
-_add("ewma_sample", lambda c: retrain.training_slice(c.features, _AS, "ewma").select("symbol", "dt"), f"""
-SELECT symbol, dt FROM (SELECT symbol, dt, datediff('day', dt, DATE '{_AS}') * ln(0.994e0) - ln(-ln((('0x' || substr(md5(symbol || '|' || dt::VARCHAR || '|{_AS}|0'), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0)) AS key
-FROM pre WHERE dt < DATE '{_AS}') QUALIFY row_number() OVER (ORDER BY key DESC, symbol, dt) <=
-(SELECT least(count(*), greatest(CAST(floor(4 * count(DISTINCT symbol) / (1 - 0.994e0)) AS BIGINT), 5000)) FROM pre WHERE dt < DATE '{_AS}')""")
-
-
-def _forest(c: Context) -> DataFrame:
-    fitted = forest.fit(intensity.train_window(c.features, "1995-01-01", TRAIN_END))
-    return forest.score(c.features, fitted).select("symbol", "dt", "score", "intensity")
-
-
-_BLOCKS = ("1999-01-01", "2000-12-31")
-
-
-def _walk(c: Context, scheme: str) -> DataFrame:
-    """All refits of the backtest with the model and schedule of production."""
-    if scheme not in c.walks:
-        walked = retrain.walk_forward(c.features, retrain.refit_dates(c.days, *_BLOCKS), scheme, c.market)
-        c.walks[scheme] = walked.persist()
-    return c.walks[scheme]
-
-
-def _walk_signals(c: Context, scheme: str) -> DataFrame:
-    return signals.generate(c.features.join(_walk(c, scheme).select("symbol", "dt", "intensity"), ["symbol", "dt"]), "not_declining")
-
-
-_period = lambda df: df.filter(F.col("dt").between(*_BLOCKS))
-_YEARS = WindowConfig("1995-01-01", TRAIN_END, *_BLOCKS).backtest_years
-_add("isolation_forest", _forest)
-_add("walk_forward", lambda c: _each(lambda s: _walk(c, s).select(F.lit(s).alias("scheme"), "symbol", "dt", "as_of", "score", "intensity")))
-
-
-def _each(make: Callable[[str], DataFrame]) -> DataFrame:
-    """What ``make`` gives for every retraining scheme, one below the other."""
-    parts = [make(s) for s in RetrainConfig().schemes]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _schemes(c: Context) -> DataFrame:
-    returns = _period(c.returns)
-    flat = signals.performance(signals.equal_weight(returns.withColumn("in_position", F.lit(True))), _YEARS).select(F.col("max_drawdown").alias("bh_max_drawdown"))
-    n = c.bars.select("symbol").distinct().count()
-
-    def one(scheme: str) -> DataFrame:
-        made = _walk_signals(c, scheme)
-        held = returns.join(made.select("symbol", "dt", "in_position"), ["symbol", "dt"], "left")
-        use = retrain.coverage(made, n, _YEARS, scheme).select("scheme", F.col("per_symbol_year").alias("trades_per_symbol_year"))
-        days = _walk(c, scheme).agg(F.count_if(F.col("intensity") >= 0.99).alias("high_band_days"))
-        return use.crossJoin(days).crossJoin(signals.performance(signals.equal_weight(held), _YEARS)).crossJoin(flat)  # single rows
-
-    return retrain.scheme_results(_each(one))
-
-
-def _scheme_coverage(c: Context) -> DataFrame:
-    n = c.bars.select("symbol").distinct().count()
-    return _each(lambda s: retrain.coverage(_walk_signals(c, s), n, _YEARS, s))
-
-
-_add("scheme_comparison", _schemes)
-_add("scheme_coverage", _scheme_coverage)
-_add("scheme_by_symbol", lambda c: _each(lambda s: retrain.per_symbol(_walk_signals(c, s), _period(c.bars), s)))
-
-
-def _stress(c: Context) -> DataFrame:
-    """A forest fitted up to the end of 1997, then a quarter, a year and the rest, none of which it has seen."""
-    fitted = forest.fit(intensity.train_window(c.features, "1995-01-01", "1997-12-31"))
-    scored = forest.score(c.features.filter("dt >= '1998-01-01'"), fitted).join(c.frame.select("symbol", "dt", "regime"), ["symbol", "dt"]).persist()
-    windows = {"quarter": ("1998-02-01", "1998-04-30"), "year": ("1998-01-01", "1998-12-31"), "rest": ("1999-01-01", "2001-12-31")}
-    rule = signals.best_rule(signals.compare_reentry(c.frame, c.returns, 5.0))
-    return signals.stress(scored, c.returns, windows, rule)
-
-
-_add("stress_test", _stress)
-
-# drawdown and reports
-_curve = lambda c: signals.equal_weight(c.held_returns)
-_add("drawdown_series", lambda c: drawdown.series(_curve(c)), f"SELECT dt, {_r('equity', 'dd')} FROM ddc")
-_add("drawdown_stats", lambda c: drawdown.stats(_curve(c)), f"""
-SELECT {_r(max_drawdown='t.dd')}, p.dt AS max_dd_start, t.dt AS max_dd_trough, q.dt AS max_dd_recovered, (q.n - t.n)::BIGINT AS time_to_recover, (SELECT count(*) FROM ddc WHERE dd < -1e-9) AS days_under_water,
-  coalesce((SELECT max(k) FROM (SELECT count(*) AS k FROM (SELECT dd, sum(CASE WHEN dd < -1e-9 THEN 0 ELSE 1 END) OVER (ORDER BY dt) AS g FROM ddc) WHERE dd < -1e-9 GROUP BY g)), 0)::BIGINT AS longest_underwater
-FROM (SELECT *, row_number() OVER (ORDER BY dt) AS n FROM ddc ORDER BY dd, dt LIMIT 1) t
-JOIN LATERAL (SELECT dt, equity FROM ddc d WHERE d.dt <= t.dt ORDER BY equity DESC, dt LIMIT 1) p ON true
-LEFT JOIN LATERAL (SELECT dt, n FROM (SELECT *, row_number() OVER (ORDER BY dt) AS n FROM ddc) d WHERE d.dt >= t.dt AND d.equity >= p.equity ORDER BY dt LIMIT 1) q ON true""")
-_BS = {"strategy_max_drawdown": "sdd", "bh_max_drawdown": "bdd", "drawdown_saved_pp": "1e2 * (sdd - bdd)", "strategy_return": "rs", "bh_return": "rb", "pct_days_in_cash": "pc"}
-_add("drawdown_by_symbol", lambda c: drawdown.by_symbol(c.bars, c.signals).select("symbol", *_BS, "exits", "days_under_water", "bh_days_under_water"), f"SELECT symbol, {_r(**_BS)}, {_b('exits', days_under_water='us', bh_days_under_water='ub')} FROM ddsym")
-_add("drawdown_summary", lambda c: drawdown.summary(drawdown.by_symbol(c.bars, c.signals)), f"""
-SELECT count(*) AS n, count(*) FILTER (v > 0.1) AS helped, count(*) FILTER (v < -0.1) AS hurt, count(*) FILTER (exits = 0) AS untouched, {_r(mean_saved_pp='avg(v)', median_saved_pp='quantile_cont(v, 0.5)', best_saved_pp='max(v)', worst_saved_pp='min(v)')} FROM (SELECT *, 1e2 * (sdd - bdd) AS v FROM ddsym)""")
-_add("cash_spells", lambda c: drawdown.cash_spells(c.signals), """
-SELECT symbol, min(dt) AS start_dt, max(dt) AS end_dt, count(*) AS sessions FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) - row_number() OVER (PARTITION BY symbol, in_position ORDER BY dt) AS g FROM sig) WHERE NOT in_position GROUP BY symbol, g""")
-_add("anomaly_days", lambda c: report.anomaly_days(c.scored, c.signals), f"""
-SELECT s.symbol, s.dt, round(intensity, 4) AS intensity, CASE WHEN intensity >= 0.99 THEN 'Severe' ELSE 'Mild' END AS severity, round(slope_z, 2) + 0e0 AS slope, round(accel_z, 2) + 0e0 AS accel, phase AS trend,
-CASE WHEN action = 'EXIT' THEN 'SELL' WHEN action = 'EXIT_WATCH' THEN 'SELL (from watch)' WHEN action = 'ENTER' THEN 'BUY' WHEN NOT in_position THEN 'already out' WHEN watching THEN 'watching' ELSE 'no action' END AS action
-FROM sc s JOIN sig g ON g.symbol = s.symbol AND g.dt = s.dt WHERE intensity >= 0.95""")
-_add("dashboard_payload", lambda c: report.dashboard_payload(c.bars, c.scored, c.signals), f"""
-SELECT b.symbol, count(*) AS sessions, min(b.dt) AS first_dt, max(b.dt) AS last_dt, round(max_by(close, b.dt), 2) AS last_close, {_b(exits="count(*) FILTER (action IN ('EXIT', 'EXIT_WATCH'))", anomaly_days='count(*) FILTER (intensity >= 0.95)')},
-round(1e2 * (1 - avg(CASE WHEN in_position THEN 1e0 ELSE 0e0 END)), 4) AS pct_in_cash FROM bars b JOIN sc s ON s.symbol = b.symbol AND s.dt = b.dt JOIN sig g ON g.symbol = b.symbol AND g.dt = b.dt GROUP BY b.symbol""")
-_flat = lambda c: signals.equal_weight(c.returns.withColumn("in_position", F.lit(True)))
-_add("chart_portfolio", lambda c: report.portfolio_chart(_curve(c), _flat(c)), f"""
-SELECT dt, {_r(strategy='equity', strategy_dd='dd')}, {_r('benchmark', benchmark_dd='benchmark / max(benchmark) OVER (ORDER BY dt) - 1')} FROM ddc JOIN
-(SELECT dt, exp(sum(ln(1 + d)) OVER (ORDER BY dt)) AS benchmark FROM (SELECT dt, coalesce(avg(ret), 0) AS d FROM hret GROUP BY dt)) USING (dt)""")
-_add("chart_scatter", lambda c: report.scatter_chart(drawdown.by_symbol(c.bars, c.signals)), f"""
-SELECT symbol, {_r(x='1e2 * bdd', y='1e2 * sdd')}, CASE WHEN 1e2 * (sdd - bdd) > 0.1 THEN 'shallower' WHEN 1e2 * (sdd - bdd) < -0.1 THEN 'deeper' ELSE 'unchanged' END AS side FROM ddsym""")
-_add("chart_symbol", lambda c: report.symbol_chart(c.bars, c.signals, c.crashes), f"""
-SELECT b.symbol, b.dt, {_r('close')}, NOT coalesce(in_position, true) AS in_cash, CASE WHEN action IN ('EXIT', 'EXIT_WATCH') THEN 'SELL' WHEN action = 'ENTER' THEN 'BUY' END AS marker, o.dt IS NOT NULL AS is_onset
-FROM bars b LEFT JOIN sig s ON s.symbol = b.symbol AND s.dt = b.dt LEFT JOIN crasho o ON o.symbol = b.symbol AND o.dt = b.dt""")
-_add("chart_schemes", lambda c: report.scheme_chart({s: signals.equal_weight(_period(c.returns).join(_walk_signals(c, s).select("symbol", "dt", "in_position"), ["symbol", "dt"], "left")) for s in RetrainConfig().schemes}))
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(make: Callable[[Context], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: tidy(make(Context.of(spark, sf_dir)))
 
-    return {name: bind(make) for name, (make, _) in _Q.items()}
+    return {name: bind(make) for name, (make, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_ctes(sql) for name, (_, sql) in _Q.items() if sql}
+    return {name: with_ctes(sql) for name, (_, sql) in REGISTRY.items() if sql}
