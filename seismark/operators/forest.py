@@ -26,6 +26,8 @@ _NAMES = ["tree", "node", "feature", "threshold", "left", "right", "size", "dept
 EULER = 0.5772156649015329
 #: Rows scored at once, so that what a task works on stays in its cache.
 CHUNK = 4096
+#: Samples handed on at once.
+JOBS = 64
 
 
 def path_norm(n: int) -> float:
@@ -165,16 +167,22 @@ def draw(frame: DataFrame, spans: dict[str, np.ndarray], jobs: list[tuple[str, i
     """
     sent = frame.sparkSession.sparkContext.broadcast(spans)
 
+    def drawn(key: str, tree: int, n: int) -> np.ndarray:
+        start, count = sent.value[key].T
+        cum = np.cumsum(count)
+        total = int(cum[-1])
+        rng = np.random.default_rng([seed, zlib.crc32(key.encode()), tree + 1])
+        spots = np.arange(total) if n >= total else rng.choice(total, n, replace=False)
+        at = np.searchsorted(cum, spots, side="right")
+        return start[at] + spots - (cum[at] - count[at])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, tree, n in pdf.itertuples(index=False):
-                start, count = sent.value[key].T
-                cum = np.cumsum(count)
-                total = int(cum[-1])
-                rng = np.random.default_rng([seed, zlib.crc32(key.encode()), tree + 1])
-                spots = np.arange(total) if n >= total else rng.choice(total, n, replace=False)
-                at = np.searchsorted(cum, spots, side="right")
-                yield pd.DataFrame({"key": key, "tree": tree, "g": start[at] + spots - (cum[at] - count[at])})
+            for at in range(0, len(pdf), JOBS):
+                some = pdf.iloc[at : at + JOBS]
+                numbers = [drawn(*job) for job in some.itertuples(index=False)]
+                sizes = [len(x) for x in numbers]
+                yield pd.DataFrame({"key": np.repeat(some["key"].to_numpy(), sizes), "tree": np.repeat(some["tree"].to_numpy(), sizes), "g": np.concatenate(numbers)})
 
     spark = frame.sparkSession
     asked = spark.createDataFrame(jobs, "key string, tree int, n long").repartition(min(len(jobs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
