@@ -17,8 +17,9 @@ doc_ids are all null has a null id, and else the least of the others; long
 texts are read whole; an empty table gives an empty result; other columns are
 not read, and ``keep`` passes them through, whatever their names.
 
-``keep`` leaves one row of each class of near copies. Two bits find few of
-them, so it links by the shingle similarity of ``similar`` instead.
+``keep`` leaves one row of each class of near copies. Two bits of 64 find few
+of them, so it takes its candidates from the longer fingerprints of
+``similar``, whose uncertain bits are left out, and verifies the similarity.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from seismark.llm import similar
-from seismark.llm.common import cut, free_names, parts
+from seismark.llm.common import cut, free_names, parts, small
 from seismark.llm.graph import components, with_least
 
 SEED, SHINGLE, BITS = 42, 3, 2
@@ -169,9 +170,10 @@ def keep(docs: DataFrame) -> DataFrame:
         return docs.select("doc_id", "text").join(one, same).select("id", F.col("text").cast("string").alias("text")).dropDuplicates(["id"])
 
     roots = similar.classes(sets.drop("first", "fp"), texts)
-    placed = with_least(cut(sets.select("id", "fp", "first").join(roots.withColumnRenamed("node", "id"), "id")), "root", "first", "head")
+    known = small(roots, BROADCAST_ROWS).withColumnRenamed("node", "id")
+    placed = cut(with_least(cut(sets.select("id", "fp", "first").join(known, "id")), "root", "first", "head").select("fp", "head"))
     # the head of every set that is not a class of its own with a single row
-    held = sets.select("fp", "first").join(placed.select("fp", "head"), "fp", "left").select("fp", F.coalesce("head", "first").alias("head"))
+    held = sets.select("fp", "first").join(small(placed, BROADCAST_ROWS), "fp", "left").select("fp", F.coalesce("head", "first").alias("head"))
     gone = cut(rows.select("first", "fp").join(cut(held), "fp").filter("first <> head").select("first").distinct())
     kept = docs.join(picked(gone), same, "left_anti")
     repeated = cut(rows.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("first").join(gone, "first", "left_anti"))
