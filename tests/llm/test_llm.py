@@ -622,3 +622,33 @@ def test_sharding_keeps_groups_without_singles(spark, copies):
     for r in out:
         where.setdefault(texts[r.doc_id], set()).add(r.shard)
     assert sum(len(w) > 1 for w in where.values()) < 8 and max(map(len, where.values())) <= 2
+
+
+def test_near_dedup_candidates_are_simhash_keys():
+    """Signs of sums of shingle vectors; pairs of 0.8 share keys and pass the sketch, others do neither."""
+    from seismark.llm import similar
+
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    x, y = np.unique(draw(300)), np.unique(draw(200))
+    both = np.concatenate([x, y])
+    assert np.allclose(similar.sums(both), similar.sums(x) + similar.sums(y), atol=1)  # each shingle adds its vector
+    differ = lambda a, b: sum(int(v).bit_count() for v in (a ^ b).view(np.uint64))
+    for same, own in ((8, 1), (400, 50), (4000, 500)):
+        shared, off = [], []
+        for _ in range(40):
+            common = draw(same)
+            (a, p), (b, q) = (similar.signature(np.concatenate([common, draw(own)])) for _ in range(2))
+            shared.append((a == b).sum())
+            off.append(differ(p, q))
+        assert min(shared) >= 1 and 10 < np.mean(shared) < 15 and max(off) <= similar.SKETCH_OFF
+    (a, p), (b, q) = similar.signature(draw(450)), similar.signature(draw(450))
+    assert len(a) == len(set(a.tolist())) == similar.KEYS and not (a == b).any() and differ(p, q) > 400
+    assert len(similar.signature(draw(3))[0]) == 0
+
+
+def test_components_on_the_driver_equal_steps(spark):
+    rng = random.Random(6)
+    d = spark.createDataFrame([(rng.randrange(300) - 150, rng.randrange(300) - 150) for _ in range(170)], "a long, b long")
+    sides = [{r.node: r.root for r in graph.components(d, local).collect()} for local in (0, 1000)]
+    assert sides[0] == sides[1] and len(set(sides[0].values())) > 5
