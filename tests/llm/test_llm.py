@@ -652,3 +652,15 @@ def test_components_on_the_driver_equal_steps(spark):
     d = spark.createDataFrame([(rng.randrange(300) - 150, rng.randrange(300) - 150) for _ in range(170)], "a long, b long")
     sides = [{r.node: r.root for r in graph.components(d, local).collect()} for local in (0, 1000)]
     assert sides[0] == sides[1] and len(set(sides[0].values())) > 5
+
+
+def test_sharding_moves_run_on_the_driver(spark):
+    """Groups across bounds are put together within the quotas; pieces cover every place once; few exchanges."""
+    pieces = sharding._pieces([(8, 4), (18, 5)], 30, 60, 3, None)  # bounds at 10 and 20, limits of 20
+    ends = [*(p for p, _, _ in pieces[1:]), 60]
+    where = [(s, k + i - p) for (p, s, k), end in zip(pieces, ends, strict=True) for i in range(p, end)]
+    assert sorted(where) == [(s, k) for s in range(3) for k in range(20)]
+    assert all(len({s for s, _ in where[lo : lo + n]}) == 1 for lo, n in ((8, 4), (18, 5)))
+    out = sharding.assign(docs(spark, [f"t{i // 13}" for i in range(260)]), shards=8)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hash") <= 3
+    assert sorted((r.shard, r.slot) for r in out.collect()) == [(s, k) for s in range(8) for k in range(33 if s < 4 else 32)]
